@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, parse_chats
-from .common import table
+from .common import scratch_path, table
 from .decontam import decontaminate
 from .license import scan_licenses
+from .packing import pack
+from .tokenbin import read_tokens, write_tokens
 from .urlfilter import judge_urls
 
 
@@ -19,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations and conversation -7, formatted, read back from the windows and digested."""
     tricky = r"\### Assistant: </turn> ok"
@@ -64,6 +72,11 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 #: Words of every document in DuckDB, A-Z lowered.
 WORDS_SQL = r"""
 words AS (
@@ -89,9 +102,11 @@ FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_files": op2_token_files,
     "op3_chat_format": op3_chat_format,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op9_pack": op9_pack,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +14,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
 #: Letters that need no care (no composition, simple lower case), then punctuation without apostrophes.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+PLAIN = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 #: White space that str.split() splits at and the tokenizer files do not.
 ODD = re.compile("[\\x1c-\\x1f]")
 
@@ -27,14 +26,14 @@ class TextEncoder:
     words are kept: when `cache` new ones have come, those not seen since the last time are forgotten.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cache = self.tokenizer.model, cache
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str | tuple[str], bytes] = {}
+        self.old: dict[str | tuple[str], bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.spaces = bool(self._slow(" \n"))
         # printable characters that stand for bytes in byte-level vocabularies, as the file's own pre-tokenizer maps them
@@ -63,12 +62,15 @@ class TextEncoder:
         """The ids of one CHUNK or WORD."""
         if m := PLAIN.fullmatch(chunk):
             letters, rest = m.groups()
+            before = b""
+            if letters[0] == "\n":
+                before, letters = self._slow("\n"), letters[1:]
             if not self.spaces:
                 letters = letters.lower()
-            return self._piece(letters) + (self._piece(rest) if rest else b"")
+            return before + self._piece(letters) + (self._piece(rest) if rest else b"")
         return self._slow(chunk)
 
-    def _lookup(self, key: str, chunk: str) -> bytes:
+    def _known(self, key: str | tuple[str], chunk: str) -> bytes:
         ids = self.new.get(key)
         if ids is None:
             ids = self.old.get(key)
@@ -82,30 +84,23 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         """The ids of text, as little-endian unsigned 32-bit integers."""
         if not self.spaces:
-            return self._joined(WORD.findall(text) if ODD.search(text) else text.split())
-        first, *rest = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in ("", first, *rest)[-1:]) or first[-1:].isspace() or not first:
-            return b"".join([self._lookup(c, c) for c in CHUNK.findall(text)])
-        return self._spaced(first, rest, text)
-
-    def _joined(self, words: list[str]) -> bytes:
-        found = list(map(self.new.get, words))
-        if None in found:
-            found = [x if x is not None else self._lookup(w, w) for x, w in zip(found, words, strict=True)]
-        return b"".join(found)
-
-    def _spaced(self, first: str, rest: Sequence[str], text: str) -> bytes:
-        """Words that each follow one space; their keys are \" \" and the word, so a miss shows if a word has spaces at its ends."""
-        keys = [" " + w for w in rest]
-        found = list(map(self.new.get, keys))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = rest[i]
-                    if not w or w[0].isspace() or w[-1].isspace():
-                        return b"".join([self._lookup(c, c) for c in CHUNK.findall(text)])
-                    found[i] = self._lookup(keys[i], keys[i])
-        return self._lookup(first, first) + b"".join(found)
+            words = WORD.findall(text) if ODD.search(text) else text.split()
+            found = list(map(self.new.get, words))
+            for i in [i for i, x in enumerate(found) if x is None] if None in found else ():
+                found[i] = self._known(words[i], words[i])
+            return b"".join(found)
+        # a part stands for itself if it starts with a new line, else for itself after a space; other words have keys in tuples
+        first, *parts = text.replace("\n", " \n").split(" ")
+        found = list(map(self.new.get, parts))
+        for i in [i for i, x in enumerate(found) if x is None] if None in found else ():
+            part = parts[i]
+            if not part.strip() or part[-1].isspace() or part[part[0] == "\n"].isspace():
+                first = ""
+                break
+            found[i] = self._known(part, part if part[0] == "\n" else " " + part)
+        if not first or first[0].isspace() or first[-1].isspace():
+            return b"".join([self._known((c,), c) for c in CHUNK.findall(text)])
+        return self._known((first,), first) + b"".join(found)
 
 
 @lru_cache(maxsize=2)
