@@ -13,7 +13,10 @@ from .common import scratch_path, table
 from .decontam import decontaminate
 from .license import scan_licenses
 from .packing import pack
+from .quality import fit_quality, score_quality
+from .sampling import held_out
 from .tokenbin import read_tokens, write_tokens
+from .toxicity import fit_severity, grade_toxicity
 from .urlfilter import judge_urls
 
 
@@ -72,11 +75,23 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    graded = grade_toxicity(docs, fit_severity(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "score", "predicted")
+
+
 #: Words of every document in DuckDB, A-Z lowered.
 WORDS_SQL = r"""
 words AS (
@@ -106,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op7_quality": op7_quality,
     "op9_pack": op9_pack,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
