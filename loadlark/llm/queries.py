@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import format_chats, parse_chats
 from .common import scratch_path, table
 from .decontam import decontaminate
@@ -75,6 +76,10 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
     "op9_pack": op9_pack,
     "op10_toxicity": op10_toxicity,
