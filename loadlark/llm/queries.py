@@ -12,6 +12,7 @@ from .ann import nearest
 from .chat import format_chats, parse_chats
 from .common import scratch_path, table
 from .decontam import decontaminate
+from .jaccard import near_duplicates
 from .license import scan_licenses
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -86,6 +87,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_nearest": op6_nearest,
     "op7_quality": op7_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_pack": op9_pack,
     "op10_toxicity": op10_toxicity,
 }
