@@ -1,4 +1,6 @@
 """Registered queries of the library, each with its DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import market
+
+QUERIES = {**market.QUERIES}
+ORACLES = {**market.ORACLES}
