@@ -68,10 +68,10 @@ def repost_key(loads: DataFrame) -> Column:
     return F.when(has_value(F.col("reference_id")), F.concat_ws("|", F.lit("REF"), F.lower("reference_id"), *lane)).when(has_value(F.col("broker_mc")), F.concat_ws("|", F.lit("MC"), F.lower("broker_mc"), *lane)).otherwise(F.concat_ws("|", F.lit("LANE"), *lane, F.col("loaded_miles")))
 
 
-def first_posts(loads: DataFrame, by: list[str] | None = None, order: str = "load_id") -> DataFrame:
-    """The first load of each repost identity, in the order of a column."""
+def first_posts(loads: DataFrame, by: list[str] | None = None, order: tuple[str, ...] = ("load_id", "rate", "loaded_miles", "empty_miles", "weight")) -> DataFrame:
+    """The first load of each repost identity, in the order of some columns."""
     key = loads.withColumn("repost_key", repost_key(loads))
-    first = Window.partitionBy(*(by or []), "repost_key").orderBy(order)
+    first = Window.partitionBy(*(by or []), "repost_key").orderBy(*order)
     return key.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 

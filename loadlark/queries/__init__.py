@@ -1,6 +1,6 @@
 """Registered queries of the library, each with its DuckDB SQL."""
 
-from . import market
+from . import market, memory
 
-QUERIES = {**market.QUERIES}
-ORACLES = {**market.ORACLES}
+QUERIES = {**market.QUERIES, **memory.QUERIES}
+ORACLES = {**market.ORACLES, **memory.ORACLES}

@@ -80,7 +80,7 @@ FROM best JOIN fits USING (driver)"""
 DEDUPED_SQL = """, keyed AS (
   SELECT *, CASE WHEN lower(trim(reference_id)) NOT IN ('', '-', 'n/a', 'na', 'needs check', 'no id', 'none', 'null', 'unknown') THEN concat_ws('|', 'REF', lower(reference_id), lower(pickup), lower(delivery), CAST(pickup_date AS VARCHAR))
          ELSE concat_ws('|', 'MC', lower(broker_mc), lower(pickup), lower(delivery), CAST(pickup_date AS VARCHAR)) END AS repost_key FROM {source}
-), deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}repost_key ORDER BY load_id) AS rn FROM keyed) WHERE rn = 1)"""
+), deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}repost_key ORDER BY load_id, rate, loaded_miles, empty_miles, weight) AS rn FROM keyed) WHERE rn = 1)"""
 
 
 def repost_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
