@@ -1,6 +1,6 @@
 """Registered queries of the library, each with its DuckDB SQL."""
 
-from . import market, memory
+from . import events, market, memory
 
-QUERIES = {**market.QUERIES, **memory.QUERIES}
-ORACLES = {**market.ORACLES, **memory.ORACLES}
+QUERIES = {**market.QUERIES, **memory.QUERIES, **events.QUERIES}
+ORACLES = {**market.ORACLES, **memory.ORACLES, **events.ORACLES}
