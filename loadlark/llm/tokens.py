@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ class TextEncoder:
     words are kept: when `cache` new ones have come, those not seen since the last time are forgotten.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,8 +35,9 @@ class TextEncoder:
         self.model, self.cache = self.tokenizer.model, cache
         self.new: dict[str | tuple[str], bytes] = {}
         self.old: dict[str | tuple[str], bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.spaces = bool(self._slow(" \n"))
+        self.marks: dict[str, bytes] = {}
+        self.line = self._slow("\n")
+        self.spaces = bool(self.line)
         # printable characters that stand for bytes in byte-level vocabularies, as the file's own pre-tokenizer maps them
         self.byte_char = {}
         for b in [*range(33, 39), *range(40, 127), *range(0xC0, 0x100)]:
@@ -50,25 +52,28 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.cache:
-                self.pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(self.byte_char)
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return ids
+        """The ids of one pre-token."""
+        shown = piece.encode().decode("latin-1").translate(self.byte_char)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _encode(self, chunk: str) -> bytes:
         """The ids of one CHUNK or WORD."""
-        if m := PLAIN.fullmatch(chunk):
-            letters, rest = m.groups()
-            before = b""
-            if letters[0] == "\n":
-                before, letters = self._slow("\n"), letters[1:]
-            if not self.spaces:
-                letters = letters.lower()
-            return before + self._piece(letters) + (self._piece(rest) if rest else b"")
-        return self._slow(chunk)
+        if not (m := PLAIN.fullmatch(chunk)):
+            return self._slow(chunk)
+        letters, rest = m.groups()
+        if rest:
+            marks = self.marks.get(rest)
+            if marks is None:
+                marks = self._piece(rest)
+                if len(self.marks) < 10_000:
+                    self.marks[rest] = marks
+            # the letters alone have a key of their own, which other words share
+            key = letters[1:] if letters[0] == " " else letters if not self.spaces or letters[0] == "\n" else (letters,)
+            return self._known(key, letters) + marks
+        before = b""
+        if letters[0] == "\n":
+            before, letters = self.line, letters[1:]
+        return before + self._piece(letters if self.spaces else letters.lower())
 
     def _known(self, key: str | tuple[str], chunk: str) -> bytes:
         ids = self.new.get(key)
