@@ -55,6 +55,9 @@ def _fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n
     cols, vals = np.concatenate(rows).astype(np.int64), np.concatenate(values)
     n, k = len(rows), GRADES
     parameters = np.concatenate([np.zeros(n_features), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
+    # both labels weigh the same, however rare one is
+    toxic = grades > 0
+    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
     m, v = np.zeros_like(parameters), np.zeros_like(parameters)
     for step in range(1, steps + 1):
         w, first, gaps = parameters[:n_features], parameters[n_features], np.exp(parameters[n_features + 1 :])
@@ -63,10 +66,10 @@ def _fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n
         with np.errstate(over="ignore"):
             upper, lower = 1 / (1 + np.exp(score - cuts[grades + 1])), 1 / (1 + np.exp(score - cuts[grades]))
         chance = np.maximum(upper - lower, 1e-12)
-        d_upper, d_lower = upper * (1 - upper) / chance, lower * (1 - lower) / chance
+        d_upper, d_lower = weight * upper * (1 - upper) / chance, weight * lower * (1 - lower) / chance
         d_cut = np.bincount(grades, weights=-d_upper, minlength=k + 1)[:k] + np.bincount(grades, weights=d_lower, minlength=k + 1)[1:]
         tail = np.cumsum(d_cut[::-1])[::-1]
-        slope = np.concatenate([np.bincount(cols, weights=vals * (d_upper - d_lower)[at], minlength=n_features), [tail[0]], tail[1:] * gaps]) / n
+        slope = np.concatenate([np.bincount(cols, weights=vals * (d_upper - d_lower)[at], minlength=n_features), [tail[0]], tail[1:] * gaps])
         slope[:n_features] += ridge * w
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         parameters = parameters - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
