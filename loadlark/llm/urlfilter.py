@@ -59,5 +59,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", defa
     fits = expressions.join(keyed, "prefix").where("digest = rule_digest")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "host_length", "blocks", "rule")).alias("best"))
     best = materialize(best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "best.*"), "urls")
-    judged = urls.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    # the verdicts grow with the pages, so they are never broadcast
+    judged = urls.join(best.hint("shuffle_merge"), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
     return judged.select("__row.*", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
