@@ -16,8 +16,9 @@ TERMINAL = ["BOOKED"]
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums of each type and window; the same plan for a batch and for a stream with a watermark."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("total_cents")).select(F.col("window.start").alias("start"), "event_type", "n", "total_cents")
+    # a watermark needs instants, so a stream's wall-clock times are read in the session's zone
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("total_cents")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total_cents")
 
 
 def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day") -> DataFrame:

@@ -26,5 +26,5 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, sf_dir, capsys):
 
     market.driver_fit(spark, sf_dir).explain("formatted")
     plan = capsys.readouterr().out
-    assert "Python" not in plan and "CartesianProduct" not in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
     assert "ReadSchema" in plan and "l_tax" not in plan
