@@ -34,7 +34,7 @@ def trigram_counts(block: list[bytes]) -> np.ndarray:
         counts[:, :TERMS] = np.bincount((doc[:-2] * TERMS + code)[inside], minlength=len(block) * TERMS).reshape(len(block), TERMS)
     for i, t in enumerate(block):
         words = t.split()
-        counts[i, TERMS] = sum(map(eq, words, islice(words, 1, None))) / max(1, len(words) - 1)
+        counts[i, TERMS] = sum(map(eq, words, islice(words, 1, None))) / max(12, len(words) - 1)  # a few words may repeat by chance
     return counts
 
 
@@ -96,24 +96,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield batch, [[row.astype(np.float16).tobytes() for block in blocks(batch.column("text")) for row in trigram_counts(block)]]
+            yield batch, [[np.minimum(row, 60_000).astype(np.float16).tobytes() for block in blocks(batch.column("text")) for row in trigram_counts(block)]]
 
     rows = map_batches(sample, "counts binary", count, ["label"]).collect()
     rows.sort(key=lambda r: (r.label, r.counts))
     label = np.array([r.label for r in rows], np.int64)
     if not len(rows):
         return NeighbourModel(np.ones(TERMS), np.zeros((TERMS + 1, rank), np.float32), np.zeros((0, rank), np.float32), label, np.zeros(0), prior)
-    counts = np.array([np.frombuffer(r.counts, np.float16) for r in rows], np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (counts[:, :TERMS] > 0).sum(axis=0))).astype(np.float32) + 0.1
-    model = NeighbourModel(idf, np.eye(TERMS + 1, rank, dtype=np.float32), counts, label, np.ones(len(rows)), prior)
-    x = model.weigh(counts)
+    # weighted block by block into one array, so that the driver holds the sample once in each width
+    counts = np.frombuffer(b"".join(r.counts for r in rows), np.float16).reshape(len(rows), TERMS + 1)
+    del rows
+    idf = np.log((1 + len(label)) / (1 + np.count_nonzero(counts[:, :TERMS], axis=0))).astype(np.float32) + 0.1
+    model = NeighbourModel(idf, np.zeros((TERMS + 1, rank), np.float32), np.zeros((0, rank), np.float32), label, np.ones(len(label)), prior)
+    x = np.empty(counts.shape, np.float32)
+    for at in range(0, len(x), BLOCK_DOCS):
+        x[at : at + BLOCK_DOCS] = model.weigh(counts[at : at + BLOCK_DOCS].astype(np.float32))
+    del counts
     # randomised range finder with power steps; the seed makes the axes the same in every run
     basis = np.random.default_rng(7).standard_normal((len(x), rank + 10)).astype(np.float32)
     for _ in range(4):
         basis = x @ (x.T @ np.linalg.qr(basis)[0])
     q = np.linalg.qr(basis)[0]
     model.axes = np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T)
-    model.vectors = model.place(counts)
+    model.vectors = x @ model.axes
+    model.vectors /= np.maximum(np.linalg.norm(model.vectors, axis=1, keepdims=True), 1e-9)
     share = np.bincount(label, minlength=2) / len(label)
     model.weights = np.where(label == 1, prior / max(share[1], 1e-9), (1 - prior) / max(share[0], 1e-9))
     return model
