@@ -1,6 +1,6 @@
 """Registered queries of the library, each with its DuckDB SQL."""
 
-from . import events, market, memory
+from . import events, layout, market, memory, notes
 
-QUERIES = {**market.QUERIES, **memory.QUERIES, **events.QUERIES}
-ORACLES = {**market.ORACLES, **memory.ORACLES, **events.ORACLES}
+QUERIES = {**market.QUERIES, **memory.QUERIES, **events.QUERIES, **notes.QUERIES, **layout.QUERIES}
+ORACLES = {**market.ORACLES, **memory.ORACLES, **events.ORACLES, **notes.ORACLES, **layout.ORACLES}
