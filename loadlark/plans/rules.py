@@ -71,24 +71,41 @@ def state_in(places: dict[str, list[str]], key: str, state: str) -> str:
     return "(" + " OR ".join(f"({key} = '{k}' AND {state} IN ({', '.join(repr(s) for s in v)}))" for k, v in places.items()) + ")"
 
 
-#: Columns that the rules read besides those of loads and requests, in the order in which they build on each other.
-FACTS = {
+#: What the rules read of a load alone, of a request alone, and of both, in the order in which they build on each other. The first two
+#: are computed before loads meet requests, so texts are searched once for each load.
+LOAD_FACTS = {
     "pickup_state": "upper(substr(pickup, length(pickup) - 1, 2))",
     "delivery_state": "upper(substr(delivery, length(delivery) - 1, 2))",
-    "driver_state": "upper(substr(location, length(location) - 1, 2))",
-    "conestoga": "contains(lower(equipment), 'conestoga')",
     "tarps": f"(CASE WHEN {has_any(NO_TARP_TERMS)} THEN false ELSE contains(notes, 'tarps required') OR contains(notes, 'ft tarps') OR contains(notes, 'need tarps') OR contains(notes, 'must tarp') END)",
     "tarp_feet": "(CASE WHEN contains(notes, '8 ft') THEN 8 WHEN contains(notes, '6 ft') THEN 6 WHEN contains(notes, '4 ft') THEN 4 ELSE 0 END)",
+    "strong": "(total_rpm >= 4.5 AND rate >= 2800 AND empty_miles <= 150 AND loaded_miles >= 450)",
+    "on_deck": "(contains(lower(posted), 'flatbed') OR contains(lower(posted), 'step'))",
+    "asks_permit": has_any(PERMIT_TERMS),
+    "asks_cash": has_any(CASH_TERMS),
+    "asks_quickpay": has_any(QUICKPAY_TERMS),
+    "asks_hazmat": has_any(HAZMAT_TERMS),
+    "asks_tanker": has_any(TANKER_TERMS),
+    "asks_twic": has_any(TWIC_TERMS),
+    "asks_status": has_any(STATUS_TERMS),
+    "asks_ramps": has_any(RAMP_TERMS),
+    "asks_dunnage": has_any(DUNNAGE_TERMS),
+    "asks_tracking": has_any(TRACKING_TERMS),
+    "no_conestoga": has_any(NO_CONESTOGA_TERMS),
+    "verify_conestoga": has_any(VERIFY_CONESTOGA_TERMS),
+}
+REQUEST_FACTS = {
+    "driver_state": "upper(substr(location, length(location) - 1, 2))",
+    "conestoga": "contains(lower(equipment), 'conestoga')",
     "driver_feet": "(CASE tarp_size WHEN '8 ft' THEN 8 WHEN '6 ft' THEN 6 WHEN '4 ft' THEN 4 ELSE 0 END)",
+}
+FACTS = {
     "in_city": "(target_city <> '' AND contains(lower(delivery), target_city))",
     "in_target": state_in(TARGETS, "target", "delivery_state"),
     "on_route": state_in(ON_THE_WAY, "target", "delivery_state"),
-    "strong": "(total_rpm >= 4.5 AND rate >= 2800 AND empty_miles <= 150 AND loaded_miles >= 450)",
 }
 
 
-def _document(terms: list[str], column: str, label: str) -> list[Rule]:
-    asked = has_any(terms)
+def _document(asked: str, column: str, label: str) -> list[Rule]:
     return [
         Rule("match", f"{asked} AND {column}", f"'{label} confirmed in driver profile.'"),
         Rule("block", f"{asked} AND NOT {column}", f"'{label} required, but the driver does not have it.'"),
@@ -96,7 +113,7 @@ def _document(terms: list[str], column: str, label: str) -> list[Rule]:
     ]
 
 
-_STATUS = has_any(STATUS_TERMS)
+_STATUS = "asks_status"
 _ANY_STATUS = "(coalesce(us_citizen, false) OR coalesce(green_card, false) OR coalesce(work_permit, false))"
 _NO_STATUS = "(us_citizen IS NOT NULL AND green_card IS NOT NULL AND work_permit IS NOT NULL)"
 _TARPED = "tarps AND NOT conestoga"
@@ -108,36 +125,36 @@ RULES = [
     Rule("block", "loaded_miles > 0 AND loaded_miles <= 10", "'Loaded miles are too low / local load.'"),
     Rule("block", "max_weight > 0 AND weight > max_weight AND conestoga", "'Weight is above the Conestoga setting.'"),
     Rule("review", "max_weight > 0 AND weight > max_weight AND NOT conestoga", "'Weight is above the driver setting.'"),
-    Rule("block", f"{has_any(PERMIT_TERMS)} AND conestoga", "'OD / permit load; Conestoga should not take it.'"),
-    Rule("review", f"{has_any(PERMIT_TERMS)} AND NOT conestoga", "'OD / permit load; verify permits.'"),
+    Rule("block", "asks_permit AND conestoga", "'OD / permit load; Conestoga should not take it.'"),
+    Rule("review", "asks_permit AND NOT conestoga", "'OD / permit load; verify permits.'"),
     Rule("review", "max_empty > 0 AND empty_miles > max_empty", "'Empty miles are above the driver setting.'"),
     Rule("review", "rate = 0", "'Rate is missing; check rate with broker.'"),
     Rule("match", "min_rpm > 0 AND total_rpm > 0 AND total_rpm < min_rpm", "'RPM is below the preferred minimum.'"),
-    Rule("block", has_any(CASH_TERMS), "'Cash/Zelle payment; risky broker.'"),
-    Rule("review", f"{has_any(QUICKPAY_TERMS)} AND NOT {has_any(CASH_TERMS)}", "'QuickPay language; check broker MC.'"),
-    *_document(HAZMAT_TERMS, "hazmat", "Hazmat certificate"),
-    *_document(TANKER_TERMS, "tanker", "Tanker endorsement"),
-    *_document(TWIC_TERMS, "twic", "TWIC card"),
+    Rule("block", "asks_cash", "'Cash/Zelle payment; risky broker.'"),
+    Rule("review", "asks_quickpay AND NOT asks_cash", "'QuickPay language; check broker MC.'"),
+    *_document("asks_hazmat", "hazmat", "Hazmat certificate"),
+    *_document("asks_tanker", "tanker", "Tanker endorsement"),
+    *_document("asks_twic", "twic", "TWIC card"),
     Rule("match", f"{_STATUS} AND {_ANY_STATUS}", "'US legal status confirmed in driver profile.'"),
     Rule("review", f"{_STATUS} AND NOT {_ANY_STATUS} AND NOT {_NO_STATUS}", "'US legal status required; ask the driver.'"),
     Rule("block", f"{_STATUS} AND NOT {_ANY_STATUS} AND {_NO_STATUS}", "'US legal status required, but none is accepted.'"),
-    *_document(RAMP_TERMS, "ramps", "Ramps"),
-    *_document(DUNNAGE_TERMS, "dunnage", "Dunnage"),
+    *_document("asks_ramps", "ramps", "Ramps"),
+    *_document("asks_dunnage", "dunnage", "Dunnage"),
     Rule("match", "tarps AND conestoga", "'Tarps covered by Conestoga.'"),
     Rule("review", f"{_TARPED} AND can_tarp AND tarp_feet > driver_feet AND driver_feet > 0", "'Tarps longer than the driver has.'"),
     Rule("match", f"{_TARPED} AND can_tarp AND NOT (tarp_feet > driver_feet AND driver_feet > 0)", "'Tarps accepted by driver profile.'"),
     Rule("block", f"{_TARPED} AND NOT can_tarp", "'Tarps required, but the driver cannot take them.'"),
     Rule("review", f"{_TARPED} AND can_tarp IS NULL", "'Tarps required; ask the driver.'"),
-    Rule("match", f"{has_any(TRACKING_TERMS)} AND tracking_ok", "'Tracking accepted by driver profile.'"),
-    Rule("block", f"{has_any(TRACKING_TERMS)} AND NOT coalesce(tracking_ok, false)", "'Tracking required, but not accepted.'"),
+    Rule("match", "asks_tracking AND tracking_ok", "'Tracking accepted by driver profile.'"),
+    Rule("block", "asks_tracking AND NOT coalesce(tracking_ok, false)", "'Tracking required, but not accepted.'"),
     Rule("match", "in_city", "'Destination matches target city.'"),
     Rule("match", "NOT in_city AND in_target", "'Destination matches target region.'"),
     Rule("block", f"{_OFF} AND NOT on_route AND NOT strong", "'Delivery does not match target direction.'"),
     Rule("review", f"{_OFF} AND on_route", "'Along the route toward the target.'"),
     Rule("review", f"{_OFF} AND NOT on_route AND strong", "'Strong off-target exception.'"),
-    Rule("block", f"conestoga AND {has_any(NO_CONESTOGA_TERMS)}", "'Conestoga is not accepted.'"),
-    Rule("review", f"conestoga AND NOT {has_any(NO_CONESTOGA_TERMS)} AND {has_any(VERIFY_CONESTOGA_TERMS)}", "'Notes prefer Flatbed; verify Conestoga.'"),
-    Rule("review", f"conestoga AND NOT {has_any(NO_CONESTOGA_TERMS + VERIFY_CONESTOGA_TERMS)} AND (contains(lower(posted), 'flatbed') OR contains(lower(posted), 'step'))", "'Posted as Flatbed/Step Deck; verify Conestoga.'"),
+    Rule("block", "conestoga AND no_conestoga", "'Conestoga is not accepted.'"),
+    Rule("review", "conestoga AND NOT no_conestoga AND verify_conestoga", "'Notes prefer Flatbed; verify Conestoga.'"),
+    Rule("review", "conestoga AND NOT (no_conestoga OR verify_conestoga) AND on_deck", "'Posted as Flatbed/Step Deck; verify Conestoga.'"),
     Rule("block", f"driver_state <> pickup_state AND NOT {state_in(NEIGHBOURS, 'driver_state', 'pickup_state')} AND empty_miles <= 250", "'Pickup region conflicts with the driver location.'"),
 ]
 
@@ -157,9 +174,9 @@ def match_loads(loads: DataFrame, requests: DataFrame, rules: list[Rule] = RULES
 
     The requests are few and broadcast; all rules are one projection, so the plan has no shuffle.
     """
-    rows = loads.crossJoin(F.broadcast(requests))
-    for name, fact in FACTS.items():
-        rows = rows.withColumn(name, F.expr(fact))
+    known = loads.withColumns({name: F.expr(fact) for name, fact in LOAD_FACTS.items()})
+    rows = known.crossJoin(F.broadcast(requests.withColumns({name: F.expr(fact) for name, fact in REQUEST_FACTS.items()})))
+    rows = rows.withColumns({name: F.expr(fact) for name, fact in FACTS.items()})
     for level in ("block", "review", "match"):
         rows = rows.withColumn(f"{level}_reasons", F.array_compact(F.array(*(F.when(F.expr(r.condition), F.expr(r.reason)) for r in rules if r.level == level))))
     rows = rows.withColumn("status", F.when(F.size("block_reasons") > 0, "BLOCK").when(F.size("review_reasons") > 0, "REVIEW_ONCE").otherwise("MATCH"))
@@ -173,7 +190,7 @@ def _sql_reasons(level: str) -> str:
 
 def _sql_facts() -> str:
     out, inner = [], "SELECT * FROM loads CROSS JOIN requests"
-    for name, fact in FACTS.items():
+    for name, fact in (LOAD_FACTS | REQUEST_FACTS | FACTS).items():
         inner = f"SELECT *, {fact} AS {name} FROM ({inner})"
     out.append(f"facts AS ({inner})")
     return out[0]

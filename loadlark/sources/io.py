@@ -20,7 +20,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 def read_semicolon_csv(spark: SparkSession, path: str) -> DataFrame:
     """Load-board exports: semicolons, a header, all columns as text and trimmed."""
     rows = spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
-    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip()) for c in rows.columns))
+    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in rows.columns))
 
 
 def read_active(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
