@@ -75,10 +75,41 @@ def first_posts(loads: DataFrame, by: list[str] | None = None, order: tuple[str,
     return key.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def _median_of(values: Column) -> Column:
-    """Twice the median of a sorted array of whole numbers; null over nothing."""
-    n = F.size(values)
-    return F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))
+def _counted_values(rows: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """Counts of each distinct rpm (cents) and rate within each grouping set, with places among the positive values.
+
+    Loads are counted by value before they meet, so what a window orders is one group's distinct values, never its loads.
+    """
+    measures = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("rpm", "rate")))
+    counts = {"n": F.lit(True), "n_qualified": F.col("qualified"), "n_match": F.col("status") == "MATCH", "n_review": F.col("status") == "REVIEW_ONCE", "n_block": F.col("status") == "BLOCK", "n_open": (F.col("status") == "REVIEW_ONCE") & (F.col("rate") > 0)}
+    fine = rows.select(*keys, "status", "qualified", "rate", F.explode(measures).alias("m")).groupBy(*keys, "m.measure", "m.value").agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    grouped = fine.groupingSets([[F.col(c) for c in [*s, "measure", "value"]] for s in sets], *keys, "measure", "value").agg(*(F.sum(n).alias(n) for n in counts))
+    group = Window.partitionBy(*keys, "measure")
+    placed = grouped.withColumn("positive", F.when(F.col("value") > 0, F.col("n")).otherwise(0))
+    return placed.withColumns({"upto": F.sum("positive").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("positive").over(group)})
+
+
+def _at(measure: str, place: Column) -> Column:
+    """The positive value at a place (from 1) in the order of the measure's values."""
+    return F.min(F.when((F.col("measure") == measure) & (F.col("value") > 0) & (F.col("upto") >= place), F.col("value")))
+
+
+def _twice_median(measure: str, part: str = "all") -> Column:
+    """Twice the median of all positive values, or of the lower or upper half without the middle value; 0 over nothing."""
+    n = F.col("total")
+    half = F.when(n == 1, 1).otherwise(F.floor(n / 2))
+    size, before = {"all": (n, F.lit(0)), "low": (half, F.lit(0)), "high": (half, n - half)}[part]
+    middle = [before + F.floor((size + 1) / 2), before + F.floor(size / 2) + 1]
+    return F.coalesce(_at(measure, middle[0]) + _at(measure, middle[1]), F.lit(0))
+
+
+def _sum_of(count: str, measure: str = "rate", condition: Column | None = None) -> Column:
+    wanted = F.col("measure") == measure if condition is None else (F.col("measure") == measure) & condition
+    return F.coalesce(F.sum(F.when(wanted, F.col(count))), F.lit(0))
+
+
+def _positive_average(measure: str) -> Column:
+    return rounded_average(F.coalesce(F.sum(F.when(F.col("measure") == measure, F.col("positive") * F.col("value"))), F.lit(0)), _sum_of("positive", measure))
 
 
 def baseline(matches: DataFrame, by: list[str]) -> DataFrame:
@@ -87,43 +118,33 @@ def baseline(matches: DataFrame, by: list[str]) -> DataFrame:
     Quartiles are medians of the halves without the middle value. All figures are exact: values are whole cents and dollars.
     """
     rows = matches.withColumns({"bucket": baseline_bucket(F.col("loaded_miles"), F.col("total_miles")), "equipment_view": equipment_view(F.col("posted")), "rpm": cents(F.col("total_rpm"))})
-    status, rate, rpm = F.col("status"), F.col("rate"), F.col("rpm")
-    sets = [by, [*by, "bucket"], [*by, "equipment_view"], [*by, "bucket", "equipment_view"]]
-    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *by, "bucket", "equipment_view").agg(
-        F.count(F.lit(1)).alias("load_count"), F.count_if("qualified").alias("qualified_count"), F.count_if(status == "MATCH").alias("clean_match_count"),
-        F.count_if(status == "REVIEW_ONCE").alias("review_once_count"), F.count_if(status == "BLOCK").alias("blocked_count"), F.count_if(rate <= 0).alias("rate_check_count"),
-        average_where(rpm, rpm > 0).alias("rpm_avg"), average_where(rate, rate > 0).alias("avg_rate"),
-        F.array_sort(F.collect_list(F.when(rpm > 0, rpm))).alias("rpms"), F.array_sort(F.collect_list(F.when(rate > 0, rate))).alias("rates"),
+    keys = [*by, "bucket", "equipment_view"]
+    grouped = _counted_values(rows, keys, [by, [*by, "bucket"], [*by, "equipment_view"], keys]).groupBy(*keys).agg(
+        _sum_of("n").alias("load_count"), _sum_of("n_qualified").alias("qualified_count"), _sum_of("n_match").alias("clean_match_count"),
+        _sum_of("n_review").alias("review_once_count"), _sum_of("n_block").alias("blocked_count"), _sum_of("n", condition=F.col("value") <= 0).alias("rate_check_count"),
+        _positive_average("rpm").alias("rpm_avg"), _positive_average("rate").alias("avg_rate"), _sum_of("positive", "rpm").alias("n_rpm"),
+        _twice_median("rpm").alias("rpm2"), _twice_median("rate").alias("rate2"), _twice_median("rpm", "low").alias("low2"), _twice_median("rpm", "high").alias("high2"),
     )
-    n = F.size("rpms")
-    half = F.floor(n / 2).cast("int")
-    lower = F.when(n == 1, F.col("rpms")).otherwise(F.slice("rpms", F.lit(1), half))
-    upper = F.when(n == 1, F.col("rpms")).otherwise(F.slice("rpms", n - half + 1, half))
-    dollars = lambda c: F.coalesce(c, F.lit(0)) / 200
-    median = F.coalesce(_median_of(F.col("rpms")), F.lit(0))
-    market = F.when((F.col("load_count") < 3) | (n < 3), "LOW_DATA").when(median >= 600, "STRONG_MARKET").when(median < 400, "SOFT_MARKET").otherwise("NORMAL_MARKET")
+    market = F.when((F.col("load_count") < 3) | (F.col("n_rpm") < 3), "LOW_DATA").when(F.col("rpm2") >= 600, "STRONG_MARKET").when(F.col("rpm2") < 400, "SOFT_MARKET").otherwise("NORMAL_MARKET")
     return grouped.select(
         *by, F.coalesce("bucket", F.lit("ALL")).alias("bucket"), F.coalesce("equipment_view", F.lit("ALL")).alias("equipment_view"),
         "load_count", "qualified_count", "clean_match_count", "review_once_count", "blocked_count", "rate_check_count",
-        (F.col("rpm_avg") / 100).alias("avg_rpm"), "avg_rate", dollars(_median_of(F.col("rpms"))).alias("median_rpm"),
-        (F.coalesce(_median_of(F.col("rates")), F.lit(0)) / 2).alias("median_rate"),
-        dollars(_median_of(lower)).alias("bottom_quartile_rpm"), dollars(_median_of(upper)).alias("top_quartile_rpm"), market.alias("market_status"),
+        (F.col("rpm_avg") / 100).alias("avg_rpm"), "avg_rate", (F.col("rpm2") / 200).alias("median_rpm"), (F.col("rate2") / 2).alias("median_rate"),
+        (F.col("low2") / 200).alias("bottom_quartile_rpm"), (F.col("high2") / 200).alias("top_quartile_rpm"), market.alias("market_status"),
     )
 
 
 def zones(matches: DataFrame, by: list[str]) -> DataFrame:
     """Exit markets by delivery city and by delivery state."""
     rows = matches.withColumns({"city": F.col("delivery"), "state": location_state(F.col("delivery")), "rpm": cents(F.col("total_rpm"))})
-    status, rate, rpm = F.col("status"), F.col("rate"), F.col("rpm")
-    check = rate <= 0
-    grouped = rows.groupingSets([[*(F.col(c) for c in by), F.col("city")], [*(F.col(c) for c in by), F.col("state")]], *by, "city", "state").agg(
-        F.count(F.lit(1)).alias("load_count"), F.count_if(status == "MATCH").alias("clean_exits"), F.count_if((status == "REVIEW_ONCE") & ~check).alias("review_exits"),
-        F.count_if(check).alias("rate_check_exits"), F.count_if(status == "BLOCK").alias("blocked"), average_where(rpm, rpm > 0).alias("rpm_avg"),
-        F.max(rpm).alias("best_rpm_cents"), F.max(rate).alias("best_rate"), F.array_sort(F.collect_list(F.when(rpm > 0, rpm))).alias("rpms"),
+    best = lambda m: F.max(F.when(F.col("measure") == m, F.col("value")))
+    grouped = _counted_values(rows, [*by, "city", "state"], [[*by, "city"], [*by, "state"]]).groupBy(*by, "city", "state").agg(
+        _sum_of("n").alias("load_count"), _sum_of("n_match").alias("clean_exits"), _sum_of("n_open").alias("review_exits"),
+        _sum_of("n", condition=F.col("value") <= 0).alias("rate_check_exits"), _sum_of("n_block").alias("blocked"), _positive_average("rpm").alias("rpm_avg"),
+        best("rpm").alias("best_rpm_cents"), best("rate").alias("best_rate"), _twice_median("rpm").alias("rpm2"),
     )
-    median = F.coalesce(_median_of(F.col("rpms")), F.lit(0))
-    zone = F.when(F.col("load_count") < 3, "LOW_EXIT_CONFIDENCE").when((F.col("clean_exits") >= 2) & (median >= 400), "STRONG_EXIT_MARKET").when((F.col("clean_exits") == 0) & (F.col("review_exits") + F.col("rate_check_exits") >= 2), "RISKY_EXIT_MARKET").otherwise("WEAK_EXIT_MARKET")
-    return grouped.select(*by, F.coalesce("city", F.lit("")).alias("city"), F.coalesce("state", F.lit("")).alias("state"), "load_count", "clean_exits", "review_exits", "rate_check_exits", "blocked", (F.col("rpm_avg") / 100).alias("avg_rpm"), (median / 200).alias("median_rpm"), (F.col("best_rpm_cents") / 100).alias("best_rpm"), "best_rate", zone.alias("zone_status"))
+    zone = F.when(F.col("load_count") < 3, "LOW_EXIT_CONFIDENCE").when((F.col("clean_exits") >= 2) & (F.col("rpm2") >= 400), "STRONG_EXIT_MARKET").when((F.col("clean_exits") == 0) & (F.col("review_exits") + F.col("rate_check_exits") >= 2), "RISKY_EXIT_MARKET").otherwise("WEAK_EXIT_MARKET")
+    return grouped.select(*by, F.coalesce("city", F.lit("")).alias("city"), F.coalesce("state", F.lit("")).alias("state"), "load_count", "clean_exits", "review_exits", "rate_check_exits", "blocked", (F.col("rpm_avg") / 100).alias("avg_rpm"), (F.col("rpm2") / 200).alias("median_rpm"), (F.col("best_rpm_cents") / 100).alias("best_rpm"), "best_rate", zone.alias("zone_status"))
 
 
 def top_opportunities(matches: DataFrame, by: str, k: int = 5) -> DataFrame:

@@ -43,15 +43,17 @@ def fold_changes(events: DataFrame) -> DataFrame:
 
 
 def watch_states(events: DataFrame) -> DataFrame:
-    """State of each watch after its events in order: terminal states stay, a muted watch wakes up only for attention."""
-    step = F.create_map(*(F.lit(x) for p in WATCH_STEPS.items() for x in p))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", step[F.col("event_type")].alias("to"))))
-
-    def move(state, x):
-        stays = state.isin(TERMINAL) | ((state == "MUTED") & (x["to"] == "WATCHING"))
-        return F.when(stays, state).otherwise(x["to"])
+    """State of each watch after its events in order: terminal states stay, a muted watch wakes up only for attention.
 
-    return events.groupBy("user_id").agg(ordered.alias("steps")).select("user_id", F.aggregate("steps", F.lit("NEW"), move).alias("state"), F.size("steps").cast("long").alias("events"))
+    The fold needs no list of events: a booking ends it whenever it comes; else the last mute or call for attention decides,
+    and only the latter gives way to a later watch. So each watch is a handful of partial aggregates.
+    """
+    step = F.create_map(*(F.lit(x) for p in WATCH_STEPS.items() for x in p))
+    rows = events.select("user_id", step[F.col("event_type")].alias("to"), F.struct("ts", "event_id").alias("at"))
+    firm = F.when(F.col("to").isin("MUTED", "ATTENTION"), F.col("at"))
+    last = rows.groupBy("user_id").agg(F.bool_or(F.col("to").isin(TERMINAL)).alias("ended"), F.max_by("to", firm).alias("firm"), F.max(firm).alias("firm_at"), F.max(F.when(F.col("to") == "WATCHING", F.col("at"))).alias("watch_at"), F.count(F.lit(1)).alias("events"))
+    wakes = F.col("firm").isNull() | ((F.col("firm") == "ATTENTION") & (F.col("watch_at") > F.col("firm_at")))
+    return last.select("user_id", F.when(F.col("ended"), "BOOKED").when(wakes, "WATCHING").otherwise(F.col("firm")).alias("state"), "events")
 
 
 def watch_stream(events: DataFrame) -> DataFrame:
