@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,11 @@ def mutual_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
         nodes = nodes.join(found, "node", "left_anti").checkpoint()
         rest = rest.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
     return done
+
+
+def findings(edges: DataFrame, is_script: Column, is_test: Column) -> DataFrame:
+    """Nodes without incoming edges (orphan) and nodes whose every source is a script or a test; conditions are over src."""
+    ends = edges.select(F.col("dst").alias("node"), is_script.alias("script"), is_test.alias("test"), F.lit(1).alias("in")).union(edges.select("src", F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("in").alias("in"), F.bool_and("script").alias("script"), F.bool_and("test").alias("test"))
+    finding = F.when(F.col("in") == 0, "orphan").when(F.col("script"), "script_only").when(F.col("test"), "test_only")
+    return seen.select("node", finding.alias("finding")).where("finding IS NOT NULL")

@@ -1,6 +1,7 @@
 """Registered queries of the library, each with its DuckDB SQL."""
 
-from . import events, layout, market, memory, notes
+from . import events, layout, links, market, memory, notes, stops
 
-QUERIES = {**market.QUERIES, **memory.QUERIES, **events.QUERIES, **notes.QUERIES, **layout.QUERIES}
-ORACLES = {**market.ORACLES, **memory.ORACLES, **events.ORACLES, **notes.ORACLES, **layout.ORACLES}
+FAMILIES = (market, memory, events, notes, layout, links, stops)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
