@@ -114,7 +114,7 @@ def unsent_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = matches(spark, sf_dir).where("good AND status <> 'BLOCK'")
     good = good.withColumn("repost_key", M.repost_key(good))
-    order = [F.desc("score"), F.desc("rate"), F.asc("load_id")]
+    order = [-F.col("score"), -F.col("rate"), F.col("load_id")]
     return R.first_unsent(good, sent(spark, sf_dir), "driver", order, 5).select("driver", "load_id", "unsent")
 
 
