@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 
 import ahocorasick
 import pyarrow as pa
@@ -54,18 +55,18 @@ IDENTIFIERS = {
 FREEDOM = {label: free for label, free in IDENTIFIERS.values()} | {"reserved": 0.0}
 #: `with` binds tightest; an exception raises the freedom of the licence before it by this share of what is missing.
 PRECEDENCE, EXCEPTION_GAIN = {"or": 1, "and": 2, "with": 3}, 0.25
-TAG, TAG_WORDS = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]{0,1000})", re.IGNORECASE), " spdx license identifier "
+TAG, TAG_WORDS, LINE_END = re.compile(r"spdx-license-identifier:", re.IGNORECASE), " spdx license identifier ", re.compile(r"[\r\n]|\Z")
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 ADDED = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, score double"
 
 
-def parse_expression(text: str) -> list[str] | None:
-    """Postfix tokens by the shunting-yard method. The longest valid expression at the start of text counts; None if there is none."""
+def parse_expression(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
+    """Postfix tokens by the shunting-yard method. The longest valid expression at the start of text[at:end] counts; None if there is none."""
+    end = len(text) if end is None else end
     out: list[str] = []
     stack: list[str] = []
     best, operand_next, depth, exception = None, True, 0, False
-    at = 0
-    while m := TOKEN.match(text, at):
+    while m := TOKEN.match(text, at, end):
         token = m[1]
         word = token.lower()
         if token == "(":
@@ -94,8 +95,18 @@ def parse_expression(text: str) -> list[str] | None:
             operand_next = exception = False
         at = m.end()
         if not operand_next and not depth:
-            best = out + stack[::-1]
-    return best
+            best = len(out), stack[::-1]  # out only grows, and outside of parentheses the stack holds an operator of each kind at most
+    return out[: best[0]] + best[1] if best else None
+
+
+def tagged_expressions(text: str) -> Iterator[list[str]]:
+    """The expression of each tag in text that has one; it ends with the line or before the next tag, however long it is."""
+    line_end, tags = -1, list(TAG.finditer(text))
+    for m, after in zip_longest(tags, tags[1:]):
+        if line_end < m.end():
+            line_end = LINE_END.search(text, m.end()).start()
+        if postfix := parse_expression(text, m.end(), min(line_end, after.start()) if after else line_end):
+            yield postfix
 
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
@@ -140,12 +151,11 @@ def _scan(batch: pa.RecordBatch, text_col: str) -> list:
                 base_labels.add(base_label)
         expressions = []
         if tagged:
-            for m in TAG.finditer(raw.decode("utf-8", "replace")):
-                if postfix := parse_expression(m[1]):
-                    value, found = evaluate(postfix)
-                    expressions.append(" ".join(postfix))
-                    labels |= found
-                    free.append(value)
+            for postfix in tagged_expressions(raw.decode("utf-8", "replace")):
+                value, found = evaluate(postfix)
+                expressions.append(" ".join(postfix))
+                labels |= found
+                free.append(value)
         values = [norm.count(b" ") - 1, len(base), min(base, default=None), max(base, default=None), sorted(base_labels), sorted(labels), expressions, min(free, default=0.0)]
         for column, value in zip(rows, values, strict=True):
             column.append(value)
@@ -160,7 +170,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
     without a place); base_labels; labels (those of the base, of further notices and of expressions; both sorted); expressions
     (postfix) and score: how free the use is under all that was found, 0 to 1, and 0 where nothing was.
 
-    Null and empty texts have no words and no labels; an unreadable expression is ignored; an unknown identifier gets the
+    Each tag of a line has its own expression, of any length, up to the next tag. Null and empty texts have no words and no labels; an unreadable expression is ignored; an unknown identifier gets the
     label `other` and freedom 0; repeated rows are each scanned. `keep` names the input columns to return (all by default); an
     added column replaces an input column of its name. No shuffle.
     """

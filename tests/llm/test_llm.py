@@ -340,3 +340,12 @@ def classes_of(docs):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_licence_tags_on_one_line_and_long_expressions(spark):
+    flat = "x SPDX-License-Identifier: MIT some words SPDX-License-Identifier: GPL-3.0-only end\nSPDX-License-Identifier: ISC OR spdx-license-identifier:MPL-2.0"
+    long = "SPDX-License-Identifier: " + "MIT AND " * 2_000 + "GPL-2.0-only"
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(1, flat), (2, long), (3, "SPDX-License-Identifier:\nMIT")], "doc_id long, text string")).collect()}
+    assert got[1].expressions == ["MIT", "GPL-3.0-only", "ISC", "MPL-2.0"] and got[1].labels == ["gpl", "isc", "mit", "mpl"] and got[1].score == 0.3
+    assert got[2].expressions[0].count("MIT") == 2_000 and got[2].labels == ["gpl", "mit"] and got[2].score == 0.3
+    assert got[3].expressions == [] and got[3].score == 0
