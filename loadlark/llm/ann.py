@@ -56,10 +56,13 @@ def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _least_copies(ids: np.ndarray, x: np.ndarray, copies: int) -> np.ndarray:
-    """Rows to keep: of equal vectors only the `copies` smallest ids can be among the nearest."""
+    """Rows to keep: repeated rows once, and of equal vectors only the `copies` smallest ids can be among the nearest."""
     order = np.lexsort((ids, *x.T))
     new = np.ones(len(order), bool)
     new[1:] = (x[order[1:]] != x[order[:-1]]).any(axis=1)
+    once = new.copy()
+    once[1:] |= ids[order[1:]] != ids[order[:-1]]
+    order, new = order[once], new[once]
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     return order[np.arange(len(order)) - first < copies]
 
@@ -95,7 +98,7 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
     table; each query visits `probes` buckets of each table in estimated success order, and all that lie there are scored with
     the original vectors in double precision. No bucket is capped: rows of one bucket are held in chunks, which a hot bucket
     has many of, and only identical vectors beyond the k + 1 smallest ids of a chunk, which can't be among the nearest, are
-    left out.
+    left out. Repeated rows are dropped before the k best of a block are taken, so that they take no places.
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common length take
     no part, nor do rows without id. Equal scores go to the smaller id; repeated rows are one candidate. A query with fewer
@@ -178,7 +181,13 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
         sent = spark.sparkContext.broadcast((np.array([r.id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)))
 
         def all_rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            return scored((b.column("id").to_numpy(), _vectors(b.column("v"))[0], *sent.value) for b in batches)
+            def blocks():
+                for batch in batches:
+                    ids, x = batch.column("id").to_numpy(), _vectors(batch.column("v"))[0]
+                    kept = _least_copies(ids, x, k + 1)
+                    yield ids[kept], x[kept], *sent.value
+
+            return scored(blocks())
 
         if asked:
             found = found.unionByName(rows.mapInArrow(all_rows, "query_id long, vec_id long, score double"))

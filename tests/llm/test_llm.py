@@ -349,3 +349,17 @@ def test_licence_tags_on_one_line_and_long_expressions(spark):
     assert got[1].expressions == ["MIT", "GPL-3.0-only", "ISC", "MPL-2.0"] and got[1].labels == ["gpl", "isc", "mit", "mpl"] and got[1].score == 0.3
     assert got[2].expressions[0].count("MIT") == 2_000 and got[2].labels == ["gpl", "mit"] and got[2].score == 0.3
     assert got[3].expressions == [] and got[3].score == 0
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.array([1.0, 0.0, 0.0]) + 0.05 * rng.standard_normal(3)).tolist()) for i in range(40)]
+    rows += [(100 + i, [-1.0, 0.5, 0.25]) for i in range(8)] + [(150, [-1.0, 0.5, 0.2501])]
+    want = exact_nearest({i: np.array(x) for i, x in rows}, 50, 5)
+    for repeats in (1, 2, 7):
+        for width in (1.0, 1e-6):  # in so narrow slots only equal vectors meet, and queries are compared with all rows
+            df = spark.createDataFrame([r for r in rows for _ in range(repeats)], "vec_id long, embedding array<double>").coalesce(1)
+            got = defaultdict(list)
+            for r in nearest(df, width=width).orderBy("query_id", "rank").collect():
+                got[r.query_id].append(r.vec_id)
+            assert got == want, (repeats, width)
