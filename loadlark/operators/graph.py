@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,38 +13,36 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_steps: int = 64) -> DataFrame:
-    """Nodes within max_steps of the starts and their distance: breadth first, one join for each step, lineage cut by checkpoints."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """All nodes that the starts reach and their distance: breadth first until a step finds no new node, one join for each step, lineage cut by checkpoints."""
     seen = starts.select("node").distinct().withColumn("steps", F.lit(0)).checkpoint()
-    front = seen
-    for step in range(1, max_steps + 1):
+    front, partitions = seen, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for step in count(1):
         front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("steps", F.lit(step)).checkpoint()
         if front.isEmpty():
-            break
-        seen = seen.union(front).checkpoint()
-    return seen
+            return seen
+        seen = seen.union(front).coalesce(partitions).checkpoint()  # else each step would add partitions
 
 
-def mutual_components(edges: DataFrame, max_steps: int = 64) -> DataFrame:
+def mutual_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components by the least node that reaches a node and is reached by it.
 
     Forward colours are spread to a fixpoint; nodes that their colour's root reaches backwards within the colour form its
-    component and leave the graph, until none is left.
+    component and leave the graph, until none is left. No count of rounds is bounded: they grow with the longest of the shortest paths.
     """
     rest = edges.select("src", "dst").distinct().checkpoint()
     nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().checkpoint()
     done = None
     while not nodes.isEmpty():
         colour = nodes.withColumn("colour", F.col("node")).checkpoint()
-        for _ in range(max_steps):
+        same = False
+        while not same:
             offers = rest.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("offer"))
             new = colour.join(offers, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", "offer").alias("colour")).checkpoint()
             same = new.join(colour.withColumnRenamed("colour", "before"), "node").where("colour <> before").isEmpty()
             colour = new
-            if same:
-                break
         inner = rest.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        back = reachable(inner.checkpoint(), colour.where("node = colour").select("node"), max_steps)
+        back = reachable(inner.checkpoint(), colour.where("node = colour").select("node"))
         found = back.join(colour, "node").select("node", F.col("colour").alias("component")).checkpoint()
         done = found if done is None else done.union(found)
         nodes = nodes.join(found, "node", "left_anti").checkpoint()
