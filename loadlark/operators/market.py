@@ -164,10 +164,13 @@ def review_queue(matches: DataFrame, by: str, k: int = 5) -> DataFrame:
 def reload_chains(matches: DataFrame, by: str, near: DataFrame, k: int = 5) -> DataFrame:
     """Pairs of a strong off-direction load and a good reload near its delivery on a later date; the best reload of each first load, then the k best chains.
 
-    near: pickup, delivery, miles of city pairs within reach; the join is by city and day, not over all pairs.
+    near: pickup, delivery, miles of city pairs within reach. Of each city and day only the reload with the largest rate, then
+    the smallest id, can be the best, so that alone is joined: a first load meets one reload of each near city and later day.
     """
     first = matches.where("strong AND NOT in_target AND NOT in_city AND rate > 0").select(by, F.col("load_id").alias("first_id"), F.col("rate").alias("first_rate"), F.col("delivery").alias("first_delivery"), F.col("total_miles").alias("first_miles"), F.col("pickup_date").alias("first_date"))
     reload = matches.where("good AND in_target").select(by, F.col("load_id").alias("reload_id"), F.col("rate").alias("reload_rate"), F.col("pickup").alias("reload_pickup"), F.col("total_miles").alias("reload_miles"), F.col("pickup_date").alias("reload_date"))
+    fields = F.struct("reload_id", "reload_rate", "reload_miles")
+    reload = reload.groupBy(by, "reload_pickup", "reload_date").agg(F.max_by(fields, F.struct("reload_rate", -F.col("reload_id"))).alias("best")).select(by, "reload_pickup", "reload_date", "best.*")
     reach = F.broadcast(near.select(F.col("delivery").alias("first_delivery"), F.col("pickup").alias("reload_pickup"), F.col("miles").alias("gap_miles")))
     pairs = first.withColumn("reload_date", F.explode(F.sequence(F.date_add("first_date", 1), F.date_add("first_date", 3)))).join(reach, "first_delivery").join(reload, [by, "reload_pickup", "reload_date"])
     gross = F.col("first_rate") + F.col("reload_rate")
