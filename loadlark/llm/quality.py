@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, texts
-from .sampling import labelled_sample
+from .sampling import held_out, labelled_sample
 
 #: Hashed byte trigrams, latent dimensions, most sample documents of a label, voters, and bytes and documents of one block.
 TERMS, RANK, PER_CLASS, VOTERS, BLOCK_BYTES, BLOCK_DOCS = 4096, 64, 2000, 15, 2 << 20, 256
@@ -86,11 +86,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
     """Place a bounded sample of labelled documents outside the held-out fold in a latent-semantic space.
 
     Trigram counts are taken by Spark; at most twice per_class rows of fixed length reach the driver, where a singular value
-    decomposition gives the axes. Each label's votes are weighted to its share among all labels. With no labelled document
-    every text gets the share of label 1, or 0.5.
+    decomposition gives the axes. Each label's votes are weighted to its share among the labels outside the held-out fold. With no
+    labelled document every text gets the share of label 1 there, or 0.5.
     """
     bounded_batches(docs.sparkSession)
-    shares = {r[0]: r[1] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
+    shares = {r[0]: r[1] for r in labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(label_col).count().collect()}
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
     sample = labelled_sample(docs, labels, label_col, per_class=per_class, text_col=text_col, id_col=id_col)
 
@@ -129,7 +129,7 @@ def score_quality(docs: DataFrame, model: NeighbourModel, *, text_col: str = "te
     """Score whole texts. Added: score (0 to 1, higher: label 1 likelier) and predicted (1 where score >= threshold, else 0).
 
     Only the text goes into a score. Null, empty and shorter than three-byte texts have no trigrams and get the share of label
-    1 among the labels; repeated rows are each scored. `keep` names the input columns to return (all by default); an added
+    1 among the labels outside the held-out fold; repeated rows are each scored. `keep` names the input columns to return (all by default); an added
     column replaces an input column of its name. The broadcast model is bounded by its sample. No shuffle.
     """
     bounded_batches(docs.sparkSession)

@@ -363,3 +363,13 @@ def test_nearest_counts_repeated_rows_once(spark):
             for r in nearest(df, width=width).orderBy("query_id", "rank").collect():
                 got[r.query_id].append(r.vec_id)
             assert got == want, (repeats, width)
+
+
+def test_quality_learns_nothing_from_held_out_labels(spark, larger):
+    docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
+    held = [r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    altered = labels.withColumn("quality", F.when(F.col("doc_id").isin(held), 0).otherwise(F.col("quality")))
+    a, b = fit_quality(docs, labels), fit_quality(docs, altered)
+    assert a.prior == b.prior and np.array_equal(a.weights, b.weights)
+    scores = [{(r.doc_id, r.text): r.score for r in score_quality(docs.limit(200), m).collect()} for m in (a, b)]
+    assert scores[0] == scores[1]
