@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int, capacity: int = 4
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, used = encoder(tokenizer_path).encode, TaskContext.get().partitionId() << 32, 0
+        encode, base, used = encoder(tokenizer_path).encode_all, TaskContext.get().partitionId() << 32, 0
         ids: list = []
         names: list = []
         held = 0
@@ -121,9 +121,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int, capacity: int = 4
             used += n
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 names.append(name)
-                ids.append(encode(text or "") + end)
+                ids.append(found + end)
                 held += len(ids[-1]) // 4
                 if held >= block_tokens:
                     yield from flush()

@@ -99,17 +99,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer_path).encode, TaskContext.get()
+        encode, task = encoder(tokenizer_path).encode_all, TaskContext.get()
         fs, root = _open(path)
         final, own = f"{root}/shard-{task.partitionId():06d}.zst", f"{root}/.shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         writer, total = None, 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(own)
                     writer = SeekableWriter(out)
-                ids = encode(text or "") + end
+                ids += end
                 total += len(ids) // 4
                 writer.add(name, ids)
         if writer is not None:
