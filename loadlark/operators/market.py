@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import baseline_bucket, equipment_view, has_value, location_state
+from ..plans.rules import any_of
 
 BUCKETS = ["0-450", "450-700", "700-1300", "1300+"]
 
@@ -26,7 +27,6 @@ def average_where(value: Column, condition: Column) -> Column:
 def bucket_stats(matches: DataFrame, by: list[str]) -> DataFrame:
     """Thirteen measures of each mileage bucket, all buckets present; by: what else the loads are grouped by."""
     good, status = F.col("good"), F.col("status")
-    keys = matches.select(*by).distinct().crossJoin(F.broadcast(matches.sparkSession.createDataFrame([(b, i) for i, b in enumerate(BUCKETS)], "bucket string, bucket_order int")))
     stats = matches.groupBy(*by, "bucket").agg(
         F.count(F.lit(1)).alias("total_loads"), F.count_if("qualified").alias("qualified_loads"), F.count_if(good).alias("good_loads"),
         F.count_if(good & (status == "MATCH")).alias("clean_match_loads"), F.count_if(good & (status == "REVIEW_ONCE")).alias("review_once_loads"),
@@ -37,7 +37,9 @@ def bucket_stats(matches: DataFrame, by: list[str]) -> DataFrame:
         average_where(F.col("score"), good & (status == "MATCH")).alias("avg_clean_match_score"),
         average_where(F.col("score"), good & (status == "REVIEW_ONCE")).alias("avg_review_once_score"),
     )
-    return keys.join(stats, [*by, "bucket"], "left").fillna(0)
+    # every group has some bucket, so the groups come from the few rows of the statistics, not from the matches again
+    order = F.broadcast(matches.sparkSession.createDataFrame([(b, i) for i, b in enumerate(BUCKETS)], "bucket string, bucket_order int"))
+    return stats.select(*by).distinct().crossJoin(order).join(stats, [*by, "bucket"], "left").fillna(0)
 
 
 def fit_stats(matches: DataFrame, by: list[str]) -> DataFrame:
@@ -155,7 +157,7 @@ def top_opportunities(matches: DataFrame, by: str, k: int = 5) -> DataFrame:
 
 def review_queue(matches: DataFrame, by: str, k: int = 5) -> DataFrame:
     """The k first loads to review: rate checks first, then as opportunities."""
-    check = F.exists("review_reasons", lambda r: F.contains(r, F.lit("check rate")))
+    check = F.col("review_bits").bitwiseAND(F.lit(any_of("RATE_MISSING"))) != 0
     rows = matches.where("status = 'REVIEW_ONCE'").withColumn("rate_check", check).where("good OR rate_check")
     first = Window.partitionBy(by).orderBy(F.desc("rate_check"), F.desc("score"), F.desc("rate"), F.desc("total_rpm"), "empty_miles", "load_id")
     return rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)

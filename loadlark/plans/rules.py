@@ -1,23 +1,36 @@
-"""The driver-match rules as data: each has a level, a condition and a reason, and all are folded into one projection."""
+"""The driver-match rules as bits: what loads ask for, what drivers have, and the levels (block, review, match) that follow.
+
+Every reason has a bit. What a load's texts ask for and what a driver has or lacks are whole numbers of such bits, computed before
+loads meet requests, so that document rules are three bitwise operations for each pair and reasons are spelled out only where a
+query selects them.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import operator
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import location_state
+
 # States of each target direction, and states on the way to it.
 TARGETS = {
     "texas": ["TX"],
+    "tx": ["TX"],
     "midwest": ["IL", "IN", "OH", "MI", "WI", "MN", "IA", "MO", "KS", "NE", "ND", "SD"],
+    "north east": ["PA", "NY", "NJ", "CT", "MA", "RI", "NH", "VT", "ME"],
     "northeast": ["PA", "NY", "NJ", "CT", "MA", "RI", "NH", "VT", "ME"],
+    "south east": ["GA", "SC", "NC", "TN", "AL"],
     "southeast": ["GA", "SC", "NC", "TN", "AL"],
     "west": ["CA", "OR", "WA", "NV", "AZ", "UT", "ID"],
 }
 ON_THE_WAY = {
     "texas": ["AL", "MS", "LA", "AR", "OK", "TX"],
+    "tx": ["AL", "MS", "LA", "AR", "OK", "TX"],
     "midwest": ["GA", "AL", "TN", "KY", "IN", "IL", "OH", "MO", "WI", "MI", "IA", "MN"],
+    "north east": ["GA", "SC", "NC", "VA", "MD", "PA", "NJ", "NY"],
     "northeast": ["GA", "SC", "NC", "VA", "MD", "PA", "NJ", "NY"],
     "west": ["AL", "MS", "LA", "TX", "OK", "NM", "AZ", "CA", "NV", "UT"],
 }
@@ -43,122 +56,160 @@ PERMIT_TERMS = ["permit load", "permits required", "permit required", "over dime
 CASH_TERMS = ["cash or zelle", "zelle or cash", "cash/zelle", "cashapp", "cash app", "zelle", "venmo", "cash on delivery"]
 QUICKPAY_TERMS = ["quickpay", "quick pay"]
 HAZMAT_TERMS = ["hazmat", "haz mat", "haz-mat", "hazardous"]
-TANKER_TERMS = ["tanker", "tank endorsement"]
-TWIC_TERMS = ["twic"]
+TANKER_TERMS = ["tanker", "tank endorsement", "tanker endorsement", "tanker endorsment", "tanker endoresment"]
+TWIC_TERMS = ["twic", "twic card"]
 STATUS_TERMS = ["us citizen", "u.s. citizen", "citizen required", "green card", "green-card", "permanent resident", "work permit", "employment authorization", "ead card"]
 RAMP_TERMS = ["need ramps", "ramps required", "ramps req", "need ramp"]
 DUNNAGE_TERMS = ["dunnage", "must provide wood", "provide wood", "wood required", "blocking and bracing", "block and brace"]
-NO_CONESTOGA_TERMS = ["no conestoga", "no stoga", "conestoga no", "flatbed only", "flat only", "must be flatbed", "conestoga wouldn't work", "conestoga would not work", "conestoga wont work", "conestoga won't work", "conestoga will not work", "no con"]
+NO_CONESTOGA_TERMS = ["no conestoga", "no conestogas", "no stoga", "no stogas", "conestoga no", "flatbed only", "flat only", "must be flatbed", "conestoga wouldn't work", "conestoga would not work", "conestoga wont work", "conestoga won't work", "conestoga will not work", "no con"]
 VERIFY_CONESTOGA_TERMS = ["flatbed preferred", "prefer flatbed", "preferred flatbed"]
-NO_TARP_TERMS = ["no tarp", "does not need tarps", "tarps not required", "tarp not required"]
+NO_TARP_TERMS = ["no tarp", "no tarps", "no tarping", "no tarp required", "no tarps required", "does not need tarps", "tarps not required", "tarp not required"]
+#: Patterns of tarps that are asked for, and of their size.
+TARP_PATTERNS = [r"\b[468]\s*(?:ft|feet|foot|')\s*tarps?\b", r"\btarps?\s*req(?:uired)?\b", r"\bneeds?\s*tarps?\b", r"\bmust\s*tarp\b", r"\btarping\s*required\b"]
+FEET_PATTERN = r"\b([468])\s*(?:ft|feet|foot|')\b"
 TRACKING_TERMS = ["tracking required", "macro point", "macropoint"]
 
+# Posted codes that mean an open deck, broker numbers that are none, and the default of the empty-mile limit.
+DECK_CODES, NO_BROKER, EMPTY_LIMIT = ["f", "fd", "ft"], ["", "NEEDS CHECK", "NO MC", "UNKNOWN", "NONE"], 200
 
-@dataclass(frozen=True)
-class Rule:
-    """level: block, review or match. condition and reason: SQL over a load joined with a request; plain enough for any engine."""
+#: Reasons in the order in which they are listed; the level says what a reason means.
+REASONS = [
+    "SAME_CITY", "LOCAL_MILES", "WEIGHT", "OD_PERMIT", "EMPTY_MILES", "RATE_MISSING", "LOW_RPM", "CASH_PAYMENT", "QUICKPAY",
+    "HAZMAT", "TANKER", "TWIC", "LEGAL_STATUS", "RAMPS", "DUNNAGE", "TARPS", "TRACKING", "TARGET_CITY", "TARGET_REGION",
+    "ALONG_ROUTE", "OFF_TARGET", "CONESTOGA", "POSTED_FLATBED", "PICKUP_FAR", "BROKER_BAD", "BROKER_RATE", "BROKER_WATCH", "BROKER_GOOD",
+]
+BIT = {name: 1 << i for i, name in enumerate(REASONS)}
+DOCUMENTS = ["HAZMAT", "TANKER", "TWIC", "LEGAL_STATUS", "RAMPS", "DUNNAGE"]
+LEVELS = ["block", "review", "match"]
+#: States that any rule names; a place's bit is its position, and a state that no rule names has none.
+STATES = sorted({s for table in (TARGETS, ON_THE_WAY, NEIGHBOURS) for k, v in table.items() for s in v} | set(NEIGHBOURS))
 
-    level: str
-    condition: str
-    reason: str
 
+def any_of(*names: str) -> int:
+    return sum(BIT[n] for n in names)
 
-def has_any(terms: list[str], column: str = "notes") -> str:
-    return "(" + " OR ".join("contains({}, '{}')".format(column, t.replace("'", "''")) for t in terms) + ")"
 
+def _has_any(text: Column, terms: list[str]) -> Column:
+    return reduce(operator.or_, (F.contains(text, F.lit(t)) for t in terms))
 
-def state_in(places: dict[str, list[str]], key: str, state: str) -> str:
-    return "(" + " OR ".join(f"({key} = '{k}' AND {state} IN ({', '.join(repr(s) for s in v)}))" for k, v in places.items()) + ")"
 
+def _bits(*parts: tuple[str, Column]) -> Column:
+    """The sum of the bits whose condition holds."""
+    zero = F.lit(0).cast("long")
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(condition, F.lit(BIT[name]).cast("long")).otherwise(zero) for name, condition in parts))
 
-#: What the rules read of a load alone, of a request alone, and of both, in the order in which they build on each other. The first two
-#: are computed before loads meet requests, so texts are searched once for each load.
-LOAD_FACTS = {
-    "pickup_state": "upper(substr(pickup, length(pickup) - 1, 2))",
-    "delivery_state": "upper(substr(delivery, length(delivery) - 1, 2))",
-    "tarps": f"(CASE WHEN {has_any(NO_TARP_TERMS)} THEN false ELSE contains(notes, 'tarps required') OR contains(notes, 'ft tarps') OR contains(notes, 'need tarps') OR contains(notes, 'must tarp') END)",
-    "tarp_feet": "(CASE WHEN contains(notes, '8 ft') THEN 8 WHEN contains(notes, '6 ft') THEN 6 WHEN contains(notes, '4 ft') THEN 4 ELSE 0 END)",
-    "strong": "(total_rpm >= 4.5 AND rate >= 2800 AND empty_miles <= 150 AND loaded_miles >= 450)",
-    "on_deck": "(contains(lower(posted), 'flatbed') OR contains(lower(posted), 'step'))",
-    "asks_permit": has_any(PERMIT_TERMS),
-    "asks_cash": has_any(CASH_TERMS),
-    "asks_quickpay": has_any(QUICKPAY_TERMS),
-    "asks_hazmat": has_any(HAZMAT_TERMS),
-    "asks_tanker": has_any(TANKER_TERMS),
-    "asks_twic": has_any(TWIC_TERMS),
-    "asks_status": has_any(STATUS_TERMS),
-    "asks_ramps": has_any(RAMP_TERMS),
-    "asks_dunnage": has_any(DUNNAGE_TERMS),
-    "asks_tracking": has_any(TRACKING_TERMS),
-    "no_conestoga": has_any(NO_CONESTOGA_TERMS),
-    "verify_conestoga": has_any(VERIFY_CONESTOGA_TERMS),
-}
-REQUEST_FACTS = {
-    "driver_state": "upper(substr(location, length(location) - 1, 2))",
-    "conestoga": "contains(lower(equipment), 'conestoga')",
-    "driver_feet": "(CASE tarp_size WHEN '8 ft' THEN 8 WHEN '6 ft' THEN 6 WHEN '4 ft' THEN 4 ELSE 0 END)",
-}
-FACTS = {
-    "in_city": "(target_city <> '' AND contains(lower(delivery), target_city))",
-    "in_target": state_in(TARGETS, "target", "delivery_state"),
-    "on_route": state_in(ON_THE_WAY, "target", "delivery_state"),
-}
+
+def _apart(bits: Column) -> Column:
+    """The same bits through a function of the interpreter's, which keeps the projection that holds it out of the stage's one generated
+    method: with joins before and rules after it, that method would be too large for the JVM to compile. Every query reads the blocking
+    bits, so those are set apart; all else in such a projection is compiled, in methods of its own."""
+    return F.aggregate(F.array(bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def _state_bit(state: Column) -> Column:
+    at = F.array_position(F.array(*map(F.lit, STATES)), state)
+    return F.when(at > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
+def _mask(places: dict[str, list[str]], key: Column) -> Column:
+    """The bits of a table's states under a request's key; 0 for a key that it doesn't know."""
+    known = F.create_map(*(F.lit(x) for k, v in places.items() for x in (k, sum(1 << (STATES.index(s) + 1) for s in v))))
+    return F.coalesce(F.try_element_at(known, key).cast("long"), F.lit(0).cast("long"))
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def load_facts(loads: DataFrame) -> DataFrame:
+    """Loads with what the rules read of them alone: texts are searched once for each load, case-insensitively.
+
+    Null texts are empty and null numbers 0. Optional columns: commodity, parsed_od (boolean), broker_memory (a broker's class).
+    """
+    has = lambda c: c in loads.columns
+    notes, posted = F.lower(_text("notes")), F.lower(_text("posted"))
+    said = F.concat_ws(" ", notes, F.lower(_text("commodity")) if has("commodity") else F.lit(""), posted)
+    rows = loads.withColumns({"__notes": notes, "__posted": posted, "__said": said})
+    said, notes, posted = F.col("__said"), F.col("__notes"), F.col("__posted")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cash = _has_any(said, CASH_TERMS)
+    tarps = ~_has_any(said, NO_TARP_TERMS) & said.rlike("|".join(TARP_PATTERNS))
+    od = _has_any(notes, PERMIT_TERMS) | (F.coalesce(F.col("parsed_od"), F.lit(False)) if has("parsed_od") else F.lit(False))
+    no_conestoga, verify = _has_any(notes, NO_CONESTOGA_TERMS), _has_any(notes, VERIFY_CONESTOGA_TERMS)
+    deck = posted.contains("flatbed") | posted.contains("step") | posted.isin(DECK_CODES)
+    pickup, delivery = F.lower(F.trim(_text("pickup"))), F.lower(F.trim(_text("delivery")))
+    memory = F.col("broker_memory") if has("broker_memory") else F.lit(None).cast("string")
+    memory = F.when(F.upper(F.trim(_text("broker_mc"))).isin(NO_BROKER), F.lit("")).otherwise(F.coalesce(memory, F.lit("")))
+    asked = {"HAZMAT": HAZMAT_TERMS, "TANKER": TANKER_TERMS, "TWIC": TWIC_TERMS, "LEGAL_STATUS": STATUS_TERMS, "RAMPS": RAMP_TERMS, "DUNNAGE": DUNNAGE_TERMS, "TRACKING": TRACKING_TERMS}
+    rows = rows.withColumns({
+        # what texts ask for; CONESTOGA: it is not accepted, POSTED_FLATBED: an open deck is posted or preferred
+        "__asks": _bits(*((n, _has_any(said, t)) for n, t in asked.items()), ("TARPS", tarps), ("OD_PERMIT", od), ("CONESTOGA", no_conestoga), ("POSTED_FLATBED", deck | verify)),
+        "__verify": verify,
+        "__feet": F.when(tarps, F.coalesce(F.regexp_extract(said, FEET_PATTERN, 1).try_cast("int"), F.lit(0))).otherwise(0),
+        "__block": _apart(_bits(("SAME_CITY", (pickup != "") & (pickup == delivery)), ("LOCAL_MILES", (number("loaded_miles") > 0) & (number("loaded_miles") <= 10)), ("CASH_PAYMENT", cash))),
+        "__review": _bits(("RATE_MISSING", number("rate") == 0), ("QUICKPAY", ~cash & _has_any(said, QUICKPAY_TERMS)), ("BROKER_BAD", memory == "BAD_BROKER_REVIEW"), ("BROKER_RATE", memory == "RATE_NEGOTIATION_REQUIRED"), ("BROKER_WATCH", memory == "WATCHLIST")),
+        "__match": _bits(("BROKER_GOOD", memory == "GOOD")),
+        "__delivery": delivery, "pickup_state": location_state(F.col("pickup")), "delivery_state": location_state(F.col("delivery")),
+        "strong": (number("total_rpm") >= 4.5) & (number("rate") >= 2800) & (number("empty_miles") <= 150) & (number("loaded_miles") >= 450),
+        **{f"__{c}": number(c) for c in ("weight", "empty_miles", "total_rpm")},
+    })
+    return rows.withColumns({"__pickup_bit": _state_bit(F.col("pickup_state")), "__delivery_bit": _state_bit(F.col("delivery_state"))}).drop("__notes", "__posted", "__said")
 
 
-def _document(asked: str, column: str, label: str) -> list[Rule]:
-    return [
-        Rule("match", f"{asked} AND {column}", f"'{label} confirmed in driver profile.'"),
-        Rule("block", f"{asked} AND NOT {column}", f"'{label} required, but the driver does not have it.'"),
-        Rule("review", f"{asked} AND {column} IS NULL", f"'{label} required; ask the driver.'"),
-    ]
-
-
-_STATUS = "asks_status"
-_ANY_STATUS = "(coalesce(us_citizen, false) OR coalesce(green_card, false) OR coalesce(work_permit, false))"
-_NO_STATUS = "(us_citizen IS NOT NULL AND green_card IS NOT NULL AND work_permit IS NOT NULL)"
-_TARPED = "tarps AND NOT conestoga"
-_OFF = "NOT in_city AND NOT in_target"
-
-#: In the order in which reasons are listed.
-RULES = [
-    Rule("block", "pickup = delivery", "'Same pickup and delivery city.'"),
-    Rule("block", "loaded_miles > 0 AND loaded_miles <= 10", "'Loaded miles are too low / local load.'"),
-    Rule("block", "max_weight > 0 AND weight > max_weight AND conestoga", "'Weight is above the Conestoga setting.'"),
-    Rule("review", "max_weight > 0 AND weight > max_weight AND NOT conestoga", "'Weight is above the driver setting.'"),
-    Rule("block", "asks_permit AND conestoga", "'OD / permit load; Conestoga should not take it.'"),
-    Rule("review", "asks_permit AND NOT conestoga", "'OD / permit load; verify permits.'"),
-    Rule("review", "max_empty > 0 AND empty_miles > max_empty", "'Empty miles are above the driver setting.'"),
-    Rule("review", "rate = 0", "'Rate is missing; check rate with broker.'"),
-    Rule("match", "min_rpm > 0 AND total_rpm > 0 AND total_rpm < min_rpm", "'RPM is below the preferred minimum.'"),
-    Rule("block", "asks_cash", "'Cash/Zelle payment; risky broker.'"),
-    Rule("review", "asks_quickpay AND NOT asks_cash", "'QuickPay language; check broker MC.'"),
-    *_document("asks_hazmat", "hazmat", "Hazmat certificate"),
-    *_document("asks_tanker", "tanker", "Tanker endorsement"),
-    *_document("asks_twic", "twic", "TWIC card"),
-    Rule("match", f"{_STATUS} AND {_ANY_STATUS}", "'US legal status confirmed in driver profile.'"),
-    Rule("review", f"{_STATUS} AND NOT {_ANY_STATUS} AND NOT {_NO_STATUS}", "'US legal status required; ask the driver.'"),
-    Rule("block", f"{_STATUS} AND NOT {_ANY_STATUS} AND {_NO_STATUS}", "'US legal status required, but none is accepted.'"),
-    *_document("asks_ramps", "ramps", "Ramps"),
-    *_document("asks_dunnage", "dunnage", "Dunnage"),
-    Rule("match", "tarps AND conestoga", "'Tarps covered by Conestoga.'"),
-    Rule("review", f"{_TARPED} AND can_tarp AND tarp_feet > driver_feet AND driver_feet > 0", "'Tarps longer than the driver has.'"),
-    Rule("match", f"{_TARPED} AND can_tarp AND NOT (tarp_feet > driver_feet AND driver_feet > 0)", "'Tarps accepted by driver profile.'"),
-    Rule("block", f"{_TARPED} AND NOT can_tarp", "'Tarps required, but the driver cannot take them.'"),
-    Rule("review", f"{_TARPED} AND can_tarp IS NULL", "'Tarps required; ask the driver.'"),
-    Rule("match", "asks_tracking AND tracking_ok", "'Tracking accepted by driver profile.'"),
-    Rule("block", "asks_tracking AND NOT coalesce(tracking_ok, false)", "'Tracking required, but not accepted.'"),
-    Rule("match", "in_city", "'Destination matches target city.'"),
-    Rule("match", "NOT in_city AND in_target", "'Destination matches target region.'"),
-    Rule("block", f"{_OFF} AND NOT on_route AND NOT strong", "'Delivery does not match target direction.'"),
-    Rule("review", f"{_OFF} AND on_route", "'Along the route toward the target.'"),
-    Rule("review", f"{_OFF} AND NOT on_route AND strong", "'Strong off-target exception.'"),
-    Rule("block", "conestoga AND no_conestoga", "'Conestoga is not accepted.'"),
-    Rule("review", "conestoga AND NOT no_conestoga AND verify_conestoga", "'Notes prefer Flatbed; verify Conestoga.'"),
-    Rule("review", "conestoga AND NOT (no_conestoga OR verify_conestoga) AND on_deck", "'Posted as Flatbed/Step Deck; verify Conestoga.'"),
-    Rule("block", f"driver_state <> pickup_state AND NOT {state_in(NEIGHBOURS, 'driver_state', 'pickup_state')} AND empty_miles <= 250", "'Pickup region conflicts with the driver location.'"),
-]
-
-#: Tiers of the opportunity score; status as known after the rules.
+def request_facts(requests: DataFrame) -> DataFrame:
+    """Requests with what the rules read of them alone: documents that the driver has or lacks (unknown: neither), and masks of states."""
+    equipment, target = F.lower(_text("equipment")), F.lower(F.trim(_text("target")))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    no = lambda c: F.coalesce(~F.col(c), F.lit(False))
+    columns = {"HAZMAT": "hazmat", "TANKER": "tanker", "TWIC": "twic", "RAMPS": "ramps", "DUNNAGE": "dunnage", "TARPS": "can_tarp", "TRACKING": "tracking_ok"}
+    papers = ["us_citizen", "green_card", "work_permit"]
+    any_paper, no_paper = yes(papers[0]) | yes(papers[1]) | yes(papers[2]), no(papers[0]) & no(papers[1]) & no(papers[2])
+    limit = F.coalesce(F.col("max_empty"), F.lit(0))
+    rows = requests.withColumn("driver_state", location_state(F.col("location")))
+    return rows.withColumns({
+        "__has": _bits(*((n, yes(c)) for n, c in columns.items()), ("LEGAL_STATUS", any_paper)),
+        "__lacks": _bits(*((n, no(c)) for n, c in columns.items()), ("LEGAL_STATUS", no_paper)),
+        "conestoga": equipment.contains("conestoga"), "__only_conestoga": equipment == "conestoga",
+        "__driver_feet": F.coalesce(F.regexp_extract(F.lower(_text("tarp_size")), FEET_PATTERN, 1).try_cast("int"), F.lit(0)),
+        "__city": F.lower(F.trim(_text("target_city"))), "__targets": _mask(TARGETS, target), "__route": _mask(ON_THE_WAY, target), "__near": _mask(NEIGHBOURS, F.col("driver_state")),
+        "__limit": F.when(limit == 0, EMPTY_LIMIT).otherwise(limit), "__max_weight": F.coalesce(F.col("max_weight"), F.lit(0)), "__min_rpm": F.coalesce(F.col("min_rpm"), F.lit(0.0)),
+    })
+
+
+# A mask if a condition holds, else no bits.
+_IF = "IF({1}, {0}L, 0L)"
+_DOCS = any_of(*DOCUMENTS)
+
+
+def _level(name: str) -> str:
+    asks = lambda n: f"(__asks & {BIT[n]}L) <> 0"
+    has = lambda n: f"(__has & {BIT[n]}L) <> 0"
+    short, over = "(__feet > __driver_feet AND __driver_feet > 0)", "(__max_weight > 0 AND __weight > __max_weight)"
+    off = "(NOT in_city AND NOT in_target)"
+    parts = {
+        "block": [
+            "__block", f"(__asks & __lacks & {_DOCS}L)",
+            ("WEIGHT", f"{over} AND conestoga"), ("OD_PERMIT", f"{asks('OD_PERMIT')} AND __only_conestoga"),
+            ("TARPS", f"{asks('TARPS')} AND NOT conestoga AND (__lacks & {BIT['TARPS']}L) <> 0"), ("TRACKING", f"{asks('TRACKING')} AND NOT {has('TRACKING')}"),
+            ("TARGET_REGION", f"{off} AND NOT on_route AND NOT strong"), ("CONESTOGA", f"conestoga AND {asks('CONESTOGA')}"),
+            ("PICKUP_FAR", "driver_state <> '' AND pickup_state <> '' AND driver_state <> pickup_state AND (__near & __pickup_bit) = 0 AND __empty_miles <= 250"),
+        ],
+        "review": [
+            "__review", f"(__asks & ~(__has | __lacks) & {_DOCS}L)",
+            ("WEIGHT", f"{over} AND NOT conestoga"), ("OD_PERMIT", f"{asks('OD_PERMIT')} AND NOT __only_conestoga"), ("EMPTY_MILES", "__empty_miles > __limit"),
+            ("TARPS", f"{asks('TARPS')} AND NOT conestoga AND ((__has | __lacks) & {BIT['TARPS']}L = 0 OR ({has('TARPS')} AND {short}))"),
+            ("ALONG_ROUTE", f"{off} AND on_route"), ("OFF_TARGET", f"{off} AND NOT on_route AND strong"),
+            ("CONESTOGA", f"conestoga AND NOT {asks('CONESTOGA')} AND __verify"), ("POSTED_FLATBED", f"conestoga AND NOT {asks('CONESTOGA')} AND NOT __verify AND {asks('POSTED_FLATBED')}"),
+        ],
+        "match": [
+            "__match", f"(__asks & __has & {_DOCS | BIT['TRACKING']}L)", ("LOW_RPM", "__min_rpm > 0 AND __total_rpm > 0 AND __total_rpm < __min_rpm"),
+            ("TARPS", f"{asks('TARPS')} AND (conestoga OR ({has('TARPS')} AND NOT {short}))"), ("TARGET_CITY", "in_city"), ("TARGET_REGION", "NOT in_city AND in_target"),
+        ],
+    }[name]
+    return " | ".join(p if isinstance(p, str) else _IF.format(BIT[p[0]], p[1]) for p in parts)
+
+
+#: Tiers of the opportunity score; status as known after the rules, zone_good 1 for deliveries to a good zone.
 SCORE = (
     "(CASE WHEN rate >= 5000 THEN 30 WHEN rate >= 3500 THEN 25 WHEN rate >= 2500 THEN 18 WHEN rate >= 1500 THEN 10 ELSE 5 END"
     " + CASE WHEN total_rpm >= 4 THEN 30 WHEN total_rpm >= 3 THEN 25 WHEN total_rpm >= 2.5 THEN 18 WHEN total_rpm >= 2 THEN 10 ELSE 3 END"
@@ -169,35 +220,102 @@ QUALIFIED = "(status <> 'BLOCK' AND rate > 0 AND (loaded_miles > 0 OR total_mile
 GOOD = f"({QUALIFIED} AND (rate >= 3000 OR total_rpm >= 3))"
 
 
-def match_loads(loads: DataFrame, requests: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Every load under every request: reasons of each level, status (BLOCK over REVIEW_ONCE over MATCH), qualified, good, score.
+def reasons_of(bits: Column) -> Column:
+    """The names of the reasons whose bits are set, in their order."""
+    names = F.array(*map(F.lit, REASONS))
+    return F.filter(names, lambda name, i: F.call_function("shiftright", bits, i) % 2 == 1)
+
 
-    The requests are few and broadcast; all rules are one projection, so the plan has no shuffle.
+def match_loads(loads: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every load under every request: bits of each level, status (BLOCK over REVIEW_ONCE over MATCH), qualified, good, score, in_city, in_target.
+
+    The requests are few and broadcast, so the plan has no shuffle; reasons are spelled out by with_reasons. Null texts, numbers
+    and states never raise a reason but RATE_MISSING; a null delivery is off target. An optional column delivery_zone that holds
+    `GOOD` adds to the score.
     """
-    known = loads.withColumns({name: F.expr(fact) for name, fact in LOAD_FACTS.items()})
-    rows = known.crossJoin(F.broadcast(requests.withColumns({name: F.expr(fact) for name, fact in REQUEST_FACTS.items()})))
-    rows = rows.withColumns({name: F.expr(fact) for name, fact in FACTS.items()})
-    for level in ("block", "review", "match"):
-        rows = rows.withColumn(f"{level}_reasons", F.array_compact(F.array(*(F.when(F.expr(r.condition), F.expr(r.reason)) for r in rules if r.level == level))))
-    rows = rows.withColumn("status", F.when(F.size("block_reasons") > 0, "BLOCK").when(F.size("review_reasons") > 0, "REVIEW_ONCE").otherwise("MATCH"))
-    rows = rows.withColumn("reasons", F.when(F.col("status") == "BLOCK", F.col("block_reasons")).when(F.col("status") == "REVIEW_ONCE", F.col("review_reasons")).otherwise(F.col("match_reasons")))
-    return rows.withColumns({"qualified": F.expr(QUALIFIED), "good": F.expr(GOOD), "score": F.greatest(F.lit(0), F.expr(SCORE))})
+    rows = load_facts(loads).crossJoin(F.broadcast(request_facts(requests)))
+    rows = rows.withColumns({"in_city": F.expr("__city <> '' AND contains(__delivery, __city)"), "in_target": F.expr("(__targets & __delivery_bit) <> 0"), "on_route": F.expr("(__route & __delivery_bit) <> 0")})
+    rows = rows.withColumns({f"{level}_bits": (_apart if level == "block" else lambda bits: bits)(F.expr(_level(level))) for level in LEVELS})
+    rows = rows.withColumn("status", F.expr("CASE WHEN block_bits <> 0 THEN 'BLOCK' WHEN review_bits <> 0 THEN 'REVIEW_ONCE' ELSE 'MATCH' END"))
+    zone = "IF(upper(coalesce(delivery_zone, '')) LIKE '%GOOD%', 5, 0)" if "delivery_zone" in loads.columns else "0"
+    rows = rows.withColumns({"qualified": F.expr(f"coalesce({QUALIFIED}, false)"), "good": F.expr(f"coalesce({GOOD}, false)"), "score": F.expr(f"greatest(0, {SCORE} + {zone})")})
+    return rows.drop(*(c for c in rows.columns if c.startswith("__")), "on_route")
+
+
+def with_reasons(matches: DataFrame) -> DataFrame:
+    """Matches with `reasons`: those of the level that decides the status."""
+    bits = F.when(F.col("status") == "BLOCK", F.col("block_bits")).when(F.col("status") == "REVIEW_ONCE", F.col("review_bits")).otherwise(F.col("match_bits"))
+    return matches.withColumn("reasons", reasons_of(bits))
+
+
+# The same rules for DuckDB, written out condition by condition.
+def _sql_any(text: str, terms: list[str]) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(text, t.replace("'", "''")) for t in terms) + ")"
+
+
+def _sql_state(place: str) -> str:
+    after, word = f"upper(trim(split_part({place}, ',', -1)))", f"upper(split_part(trim({place}), ' ', -1))"
+    return f"coalesce(CASE WHEN contains({place}, ',') AND length({after}) = 2 THEN {after} WHEN length({word}) = 2 THEN {word} ELSE '' END, '')"
+
+
+def _sql_in(places: dict[str, list[str]], key: str, state: str) -> str:
+    return "(" + " OR ".join(f"({key} = '{k}' AND {state} IN ({', '.join(repr(s) for s in v)}))" for k, v in places.items()) + ")"
 
 
-def _sql_reasons(level: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {r.condition} THEN {r.reason} END" for r in RULES if r.level == level) + "], lambda x: x IS NOT NULL)"
+def _sql_document(name: str, terms: list[str], has: str, lacks: str) -> tuple[list, list, list]:
+    asked = _sql_any("said", terms)
+    return (name, f"{asked} AND {lacks}"), (name, f"{asked} AND NOT {has} AND NOT {lacks}"), (name, f"{asked} AND {has}")
 
 
-def _sql_facts() -> str:
-    out, inner = [], "SELECT * FROM loads CROSS JOIN requests"
-    for name, fact in (LOAD_FACTS | REQUEST_FACTS | FACTS).items():
-        inner = f"SELECT *, {fact} AS {name} FROM ({inner})"
-    out.append(f"facts AS ({inner})")
-    return out[0]
+def _sql_levels() -> dict[str, list[tuple[str, str]]]:
+    known = lambda c: (f"coalesce({c}, false)", f"coalesce(NOT {c}, false)")
+    papers = ["us_citizen", "green_card", "work_permit"]
+    status = "(" + " OR ".join(known(p)[0] for p in papers) + ")", "(" + " AND ".join(known(p)[1] for p in papers) + ")"
+    docs = [
+        _sql_document("HAZMAT", HAZMAT_TERMS, *known("hazmat")), _sql_document("TANKER", TANKER_TERMS, *known("tanker")), _sql_document("TWIC", TWIC_TERMS, *known("twic")),
+        _sql_document("LEGAL_STATUS", STATUS_TERMS, *status), _sql_document("RAMPS", RAMP_TERMS, *known("ramps")), _sql_document("DUNNAGE", DUNNAGE_TERMS, *known("dunnage")),
+    ]
+    over, cash, permit = "coalesce(max_weight, 0) > 0 AND coalesce(weight, 0) > max_weight", _sql_any("said", CASH_TERMS), _sql_any("nlow", PERMIT_TERMS)
+    no_con, verify, track = _sql_any("nlow", NO_CONESTOGA_TERMS), _sql_any("nlow", VERIFY_CONESTOGA_TERMS), _sql_any("said", TRACKING_TERMS)
+    off, short = "NOT in_city AND NOT in_target", "(tarp_feet > driver_feet AND driver_feet > 0)"
+    near = _sql_in(NEIGHBOURS, "driver_state", "pickup_state")
+    return {
+        "block": [
+            ("SAME_CITY", "coalesce(trim(pickup) <> '' AND lower(trim(pickup)) = lower(trim(delivery)), false)"), ("LOCAL_MILES", "loaded_miles BETWEEN 1 AND 10"),
+            ("WEIGHT", f"{over} AND conestoga"), ("OD_PERMIT", f"{permit} AND lower(equipment) = 'conestoga'"), ("CASH_PAYMENT", cash), *(d[0] for d in docs),
+            ("TARPS", "tarps AND NOT conestoga AND coalesce(NOT can_tarp, false)"), ("TRACKING", f"{track} AND NOT coalesce(tracking_ok, false)"),
+            ("TARGET_REGION", f"{off} AND NOT on_route AND NOT strong"), ("CONESTOGA", f"conestoga AND {no_con}"),
+            ("PICKUP_FAR", f"driver_state <> '' AND pickup_state <> '' AND driver_state <> pickup_state AND NOT {near} AND empty_miles <= 250"),
+        ],
+        "review": [
+            ("WEIGHT", f"{over} AND NOT conestoga"), ("OD_PERMIT", f"{permit} AND lower(equipment) <> 'conestoga'"), ("EMPTY_MILES", "empty_miles > CASE WHEN coalesce(max_empty, 0) = 0 THEN 200 ELSE max_empty END"),
+            ("RATE_MISSING", "coalesce(rate, 0) = 0"), ("QUICKPAY", f"NOT {cash} AND {_sql_any('said', QUICKPAY_TERMS)}"), *(d[1] for d in docs),
+            ("TARPS", f"tarps AND NOT conestoga AND (can_tarp IS NULL OR (can_tarp AND {short}))"),
+            ("ALONG_ROUTE", f"{off} AND on_route"), ("OFF_TARGET", f"{off} AND NOT on_route AND strong"), ("CONESTOGA", f"conestoga AND NOT {no_con} AND {verify}"),
+            ("POSTED_FLATBED", f"conestoga AND NOT {no_con} AND NOT {verify} AND (contains(lower(posted), 'flatbed') OR contains(lower(posted), 'step') OR lower(posted) IN ('f', 'fd', 'ft'))"),
+        ],
+        "match": [
+            ("LOW_RPM", "coalesce(min_rpm, 0) > 0 AND total_rpm > 0 AND total_rpm < min_rpm"), *(d[2] for d in docs), ("TARPS", f"tarps AND (conestoga OR (coalesce(can_tarp, false) AND NOT {short}))"),
+            ("TRACKING", f"{track} AND coalesce(tracking_ok, false)"), ("TARGET_CITY", "in_city"), ("TARGET_REGION", "NOT in_city AND in_target"),
+        ],
+    }
 
 
-MATCHES_SQL = f"""{_sql_facts()}, reasoned AS (
-  SELECT *, {_sql_reasons("block")} AS block_reasons, {_sql_reasons("review")} AS review_reasons, {_sql_reasons("match")} AS match_reasons FROM facts
+_SQL_FEET = r"coalesce(TRY_CAST(nullif(regexp_extract({}, '\b([468])\s*(?:ft|feet|foot|'')\b', 1), '') AS INTEGER), 0)"
+_SQL_TARPS = r"regexp_matches(said, '\b[468]\s*(?:ft|feet|foot|'')\s*tarps?\b|\btarps?\s*req(?:uired)?\b|\bneeds?\s*tarps?\b|\bmust\s*tarp\b|\btarping\s*required\b')"
+MATCHES_SQL = f"""said AS (
+  SELECT *, lower(concat_ws(' ', coalesce(notes, ''), coalesce(commodity, ''), coalesce(posted, ''))) AS said, lower(coalesce(notes, '')) AS nlow, {_sql_state("pickup")} AS pickup_state, {_sql_state("delivery")} AS delivery_state,
+         coalesce(total_rpm >= 4.5 AND rate >= 2800 AND empty_miles <= 150 AND loaded_miles >= 450, false) AS strong FROM loads
+), tarped AS (
+  SELECT *, NOT {_sql_any("said", NO_TARP_TERMS)} AND {_SQL_TARPS} AS tarps FROM said
+), asked AS (SELECT *, CASE WHEN tarps THEN {_SQL_FEET.format("said")} ELSE 0 END AS tarp_feet FROM tarped
+), drivers AS (
+  SELECT *, {_sql_state("location")} AS driver_state, contains(lower(coalesce(equipment, '')), 'conestoga') AS conestoga, {_SQL_FEET.format("lower(coalesce(tarp_size, ''))")} AS driver_feet FROM requests
+), facts AS (
+  SELECT *, coalesce(target_city, '') <> '' AND contains(lower(coalesce(delivery, '')), target_city) AS in_city, {_sql_in(TARGETS, "target", "delivery_state")} AS in_target,
+         {_sql_in(ON_THE_WAY, "target", "delivery_state")} AS on_route FROM asked CROSS JOIN drivers
+), reasoned AS (
+  SELECT *, {", ".join("list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules) + f"], lambda x: x IS NOT NULL) AS {level}_reasons" for level, rules in _sql_levels().items())} FROM facts
 ), judged AS (
   SELECT *, CASE WHEN len(block_reasons) > 0 THEN 'BLOCK' WHEN len(review_reasons) > 0 THEN 'REVIEW_ONCE' ELSE 'MATCH' END AS status FROM reasoned
 ), matches AS (

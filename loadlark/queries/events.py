@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import graph as G
+from ..sources.io import shared_dir
 from ..sources.views import LOADS_SQL, loads, table
 from ..streaming import events as S
 
 TEXT_SQL = f"""WITH {LOADS_SQL}, docs AS (
-  SELECT load_id, concat_ws(chr(10), 'LOAD NUMBER: ' || reference_id, 'BROKER: ' || broker_name || ' MC ' || broker_mc, 'PICKUP', 'Location: ' || pickup, 'Date: ' || pickup_date, 'DELIVERY', 'Location: ' || delivery,
+  SELECT concat_ws('-', load_id, part_no, broker_mc) AS load_id, concat_ws(chr(10), 'LOAD NUMBER: ' || reference_id, 'BROKER: ' || broker_name || ' MC ' || broker_mc, 'PICKUP', 'Location: ' || pickup, 'Date: ' || pickup_date, 'DELIVERY', 'Location: ' || delivery,
     'RATE', 'Line haul: $' || (rate - empty_miles) || '.00', 'Fuel surcharge: $' || empty_miles || '.00', 'Total carrier rate: $' || rate || '.00', 'TERMS', 'Late fee up to $' || (weight // 100) || '.00', 'Weight: ' || weight || ' lbs') AS text
-  FROM (SELECT row_number() OVER (PARTITION BY load_id ORDER BY rate, loaded_miles, empty_miles, weight) AS rn, * FROM loads) WHERE rn = 1
+  FROM loads
 ), lines AS (SELECT load_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line FROM docs, unnest(range(1, 15)) AS u(i)
 ), sections AS (
   SELECT *, coalesce(last_value(CASE WHEN starts_with(line, 'PICKUP') THEN 'pickup' WHEN starts_with(line, 'DELIVERY') THEN 'delivery' WHEN starts_with(line, 'RATE') THEN 'rate' WHEN starts_with(line, 'TERMS') THEN 'terms' END IGNORE NULLS)
@@ -30,10 +31,8 @@ TEXT_SQL = f"""WITH {LOADS_SQL}, docs AS (
 
 
 def documents_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    one = Window.partitionBy("load_id").orderBy("rate", "loaded_miles", "empty_miles", "weight")
-    return X.rate_confirmations(loads(spark, sf_dir).withColumn("__n", F.row_number().over(one)).where("__n = 1"))
+    """One rate confirmation for each load; loads share numbers, so a document is named by load, part and broker."""
+    return X.rate_confirmations(loads(spark, sf_dir).withColumn("load_id", F.concat_ws("-", "load_id", "part_no", "broker_mc")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,18 +61,17 @@ def labels_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph over users: who follows whom in the event log, by numbers."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 400).alias("dst")).where("event_id % 29 = 0 AND src <> dst").distinct()
+    n = e.agg(F.max("user_id")).first()[0] or 1
+    return e.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % n).alias("dst")).where("src <> dst").distinct()
 
 
-EDGES_SQL = "edges AS (SELECT DISTINCT user_id AS src, (user_id * 7 + event_id) % 400 AS dst FROM events WHERE event_id % 29 = 0 AND user_id <> (user_id * 7 + event_id) % 400)"
+EDGES_SQL = "edges AS (SELECT DISTINCT user_id AS src, (user_id * 7 + event_id) % (SELECT max(user_id) FROM events) AS dst FROM events WHERE user_id <> (user_id * 7 + event_id) % (SELECT max(user_id) FROM events))"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Graph operators cut lineage with checkpoints; name a folder only where the session has none."""
+    """Graph operators cut lineage with checkpoints in the shared folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return spark
 
 
@@ -119,6 +117,6 @@ SELECT user_id, max(put) AS put_id, last(value ORDER BY ts, event_id) AS value,
 w AS (SELECT user_id, k, t AS state FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, CASE WHEN w.state = 'BOOKED' OR (w.state = 'MUTED' AND n.t = 'WATCHING') THEN w.state ELSE n.t END FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)
 SELECT user_id, last(state ORDER BY k) AS state, max(k) AS events FROM w GROUP BY user_id""",
     "graph_degrees": f"WITH {EDGES_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
-    "graph_reachable": f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 0::BIGINT AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.steps < 64) SELECT node, min(steps) AS steps FROM r GROUP BY node",
+    "graph_reachable": f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 0::BIGINT AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.steps < (SELECT max(user_id) FROM events)) SELECT node, min(steps) AS steps FROM r GROUP BY node",
     "graph_components": f"WITH RECURSIVE {EDGES_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), p AS (SELECT src AS a, dst AS b FROM edges UNION SELECT p.a, e.dst FROM p JOIN edges e ON e.src = p.b) SELECT n.node, least(n.node, coalesce(min(p.b) FILTER (WHERE q.a IS NOT NULL), n.node)) AS component FROM n LEFT JOIN p ON p.a = n.node LEFT JOIN p q ON q.a = p.b AND q.b = n.node GROUP BY n.node",
 }

@@ -10,7 +10,7 @@ from ..operators import links as L
 from ..operators import market as M
 from ..plans.rules import MATCHES_SQL
 from ..sources.views import CASES_SQL, FEEDBACK_SQL, LOADS_SQL, REQUESTS_SQL, cases, feedback, loads
-from .market import BASELINE_SQL, ZONES_SQL, matches
+from .market import BASELINE_SQL, ZONES_SQL, first_matches, matches
 
 # Derived records, in expressions that Spark and DuckDB both read.
 IDENTITY = ["load_id", "CASE WHEN reference_id = 'needs check' THEN 'NO ID' ELSE reference_id END AS reference_id", "'driver' || (load_id % 40) AS driver", "CASE WHEN load_id % 3 = 0 THEN '' ELSE broker_mc END AS broker_mc", "pickup", "delivery", "rate", "loaded_miles", "weight", "notes", "CAST(pickup_date AS STRING) AS day"]
@@ -70,23 +70,36 @@ def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_risk_flags(matches(spark, sf_dir)).groupBy("driver", F.array_join("risk_flags", ",").alias("risk_flags")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def review_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review category, priority, suggested action and reason of every match: how many there are of each."""
+    rows = D.with_priority(D.review_category(matches(spark, sf_dir)))
+    return rows.groupBy("driver", "review_category", "priority", "suggested_action", "opportunity_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matches(spark, sf_dir).withColumns({"missing": F.array_compact(F.array(F.when(F.col("reference_id") == "needs check", F.lit("reference_id")))), "unsure": F.col("total_rpm") > 6, "conflict": F.lit(False)})
     return D.decide(rows).groupBy("driver", "decision", "action", "approval_required", "autonomous").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exit_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matches(spark, sf_dir)
-    first = M.first_posts(rows, ["driver"])
+    rows, first = matches(spark, sf_dir), first_matches(spark, sf_dir)
     judged = D.exit_markets(rows.where("qualified"), M.zones(first, ["driver"]), M.baseline(first, ["driver"]), "driver")
     return judged.groupBy("driver", "exit_status", "watch").agg(F.count(F.lit(1)).alias("n"), F.sum("rate").alias("total_rate"))
 
 
-QUERIES = {f.__name__: f for f in (record_ids, outbox_links, feedback_links, intake_links, intake_gaps, commands, risk_flags, decisions, exit_markets)}
+QUERIES = {f.__name__: f for f in (record_ids, outbox_links, feedback_links, intake_links, intake_gaps, commands, risk_flags, review_categories, decisions, exit_markets)}
 
 _SAME = {f: f"CASE WHEN coalesce(i_{f}, '') <> '' AND coalesce(c_{f}, '') <> '' THEN lower(i_{f}) = lower(c_{f}) END" for f in ("reference_id", "load_id", "broker_mc", "broker_name", "pickup", "delivery", "rate")}
 _LIST = lambda items: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in items) + "], lambda x: x IS NOT NULL), ',')"
 _MISSING = _LIST([(f, f"coalesce({f}, '') = ''") for f in EXPECTED])
+_ANY = lambda r: f"(list_contains(block_reasons, '{r}') OR list_contains(review_reasons, '{r}') OR list_contains(match_reasons, '{r}'))"
+_FLAGS = [
+    ("LOW_RPM", "list_contains(match_reasons, 'LOW_RPM')"), ("OVERWEIGHT", _ANY("WEIGHT")), ("PICKUP_TOO_FAR", _ANY("EMPTY_MILES")), ("LOCAL_LOAD", f"{_ANY('SAME_CITY')} OR {_ANY('LOCAL_MILES')}"),
+    ("OD_PERMIT_LOAD", _ANY("OD_PERMIT")), ("RATE_MISSING", "coalesce(rate, 0) = 0"), ("RATE_CHECK_REQUIRED", "coalesce(rate, 0) = 0"), ("NO_CONESTOGA", "list_contains(block_reasons, 'CONESTOGA')"),
+    ("CONESTOGA_VERIFY", "list_contains(review_reasons, 'CONESTOGA') OR list_contains(review_reasons, 'POSTED_FLATBED')"), ("TRACKING_REQUIRED", "list_contains(block_reasons, 'TRACKING')"),
+    ("HAZMAT_REQUIRED", _ANY("HAZMAT")), ("TWIC_REQUIRED", _ANY("TWIC")), ("TANKER_REQUIRED", _ANY("TANKER")), ("RAMPS_REQUIRED", _ANY("RAMPS")), ("DUNNAGE_REQUIRED", _ANY("DUNNAGE")), ("LEGAL_STATUS_REQUIRED", _ANY("LEGAL_STATUS")),
+    ("PAYMENT_RISK", f"{_ANY('CASH_PAYMENT')} OR {_ANY('QUICKPAY')}"), ("TARGET_DIRECTION_MISMATCH", "list_contains(review_reasons, 'OFF_TARGET')"),
+]
 MATCHED = f"WITH {LOADS_SQL}, {REQUESTS_SQL}, {MATCHES_SQL}"
 ORACLES = {
     "record_ids": f"""WITH {LOADS_SQL}, r AS (SELECT {', '.join(IDENTITY)} FROM loads),
@@ -113,7 +126,15 @@ SELECT missing, needs_check, CASE WHEN missing <> '' THEN 'MISSING_FIELDS' WHEN
 k AS (SELECT *, CASE v {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in SHORT.items())} END AS s FROM w),
 d AS (SELECT *, CASE WHEN v = '' THEN NULL WHEN v = '/help' THEN 'help' WHEN v = '/feedback' THEN CASE WHEN b = '' THEN 'invalid' ELSE 'feedback' END WHEN s IS NOT NULL THEN CASE WHEN a = '' THEN 'invalid' ELSE 'feedback' END ELSE 'unknown' END AS command FROM k)
 SELECT feedback_id, command, CASE WHEN command = 'feedback' THEN a END AS ref, CASE WHEN command = 'feedback' THEN CASE WHEN v = '/feedback' THEN lower(b) ELSE s END END AS kind, CASE WHEN command = 'feedback' THEN CASE WHEN v = '/feedback' THEN trim(c) ELSE trim(b || ' ' || trim(c)) END END AS note FROM d""",
-    "risk_flags": f"{MATCHED}, s AS (SELECT driver, lower(array_to_string(reasons, ' ')) AS said FROM matches) SELECT driver, {_LIST(D.RISK_FLAGS)} AS risk_flags, count(*) AS n FROM s GROUP BY ALL",
+    "risk_flags": f"{MATCHED} SELECT driver, {_LIST(_FLAGS)} AS risk_flags, count(*) AS n FROM matches GROUP BY ALL",
+    "review_categories": f"""{MATCHED} SELECT driver, CASE WHEN coalesce(rate, 0) = 0 THEN 'RATE CHECK' WHEN {_ANY('OD_PERMIT')} THEN 'OD / PERMIT' WHEN list_contains(review_reasons, 'CONESTOGA') OR list_contains(review_reasons, 'POSTED_FLATBED') THEN 'CONESTOGA VERIFY'
+  WHEN list_contains(review_reasons, 'ALONG_ROUTE') THEN 'ALONG ROUTE' WHEN {' OR '.join(_ANY(d) for d in ('HAZMAT', 'TANKER', 'TWIC', 'LEGAL_STATUS', 'DUNNAGE'))} OR list_contains(block_reasons, 'RAMPS') OR list_contains(review_reasons, 'RAMPS') OR coalesce(contains(lower(notes), 'iso tank'), false) OR coalesce(contains(lower(commodity), 'iso tank'), false) THEN 'DOCUMENTS REQUIRED'
+  WHEN list_contains(review_reasons, 'OFF_TARGET') THEN 'STRONG OFF-TARGET' WHEN {_ANY('WEIGHT')} THEN 'WEIGHT CHECK' WHEN list_contains(block_reasons, 'TARPS') OR list_contains(review_reasons, 'TARPS') THEN 'TARPS REQUIRED' ELSE 'GENERAL REVIEW' END AS review_category,
+  CASE WHEN status = 'BLOCK' THEN 'BLOCK' WHEN score >= 90 THEN 'HIGH' WHEN score >= 75 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+  CASE status WHEN 'BLOCK' THEN 'DO NOT SEND' WHEN 'REVIEW_ONCE' THEN 'REVIEW ONCE' ELSE CASE WHEN score >= 85 THEN 'CALL NOW + EMAIL BACKUP' WHEN score >= 75 THEN 'CALL IF AVAILABLE' ELSE 'MONITOR' END END AS suggested_action,
+  coalesce(nullif(concat_ws(', ', CASE WHEN rate >= 5000 THEN 'Strong gross' WHEN rate >= 3000 THEN 'Good gross' END, CASE WHEN total_rpm >= 4 THEN 'Excellent RPM' WHEN total_rpm >= 3 THEN 'Good RPM' END,
+    CASE WHEN empty_miles <= 50 THEN 'Low empty miles' WHEN empty_miles <= 150 THEN 'Acceptable empty miles' END, CASE status WHEN 'MATCH' THEN 'Matches driver target' WHEN 'REVIEW_ONCE' THEN 'Needs dispatcher review' END), ''), 'Potential opportunity based on current filters') AS opportunity_reason,
+  count(*) AS n FROM matches GROUP BY ALL""",
     "decisions": f"""{MATCHED}, d AS (SELECT driver, CASE WHEN status = 'MATCH' AND (reference_id = 'needs check' OR total_rpm > 6) THEN 'REVIEW_REQUIRED' ELSE status END AS decision FROM matches),
 a AS (SELECT *, CASE decision {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in D.ACTIONS.items())} END AS action FROM d)
 SELECT driver, decision, action, action NOT IN ({', '.join(map(repr, D.SAFE_ACTIONS))}) AS approval_required, action IN ({', '.join(map(repr, D.SAFE_ACTIONS))}) AS autonomous, count(*) AS n FROM a GROUP BY ALL""",

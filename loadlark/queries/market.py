@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import market as M
-from ..plans.rules import MATCHES_SQL, match_loads
+from ..plans.rules import MATCHES_SQL, match_loads, reasons_of, with_reasons
 from ..sources.views import CITIES, LOADS_SQL, REQUESTS_SQL, loads, requests
 
 BASE = f"WITH {LOADS_SQL}, {REQUESTS_SQL}, {MATCHES_SQL}"
@@ -22,8 +22,13 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_loads(loads(spark, sf_dir), requests(spark))
 
 
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the first post of each load: reposts are dropped before loads meet requests."""
+    return match_loads(M.first_posts(loads(spark, sf_dir)), requests(spark))
+
+
 def driver_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir).select("driver", "load_id", "status", F.array_join("reasons", " | ").alias("reasons"), "qualified", "good", F.col("score").cast("long").alias("score"))
+    return with_reasons(matches(spark, sf_dir)).select("driver", "load_id", "status", F.array_join("reasons", " | ").alias("reasons"), "qualified", "good", F.col("score").cast("long").alias("score"))
 
 
 DRIVER_MATCH_SQL = BASE + " SELECT driver, load_id, status, array_to_string(reasons, ' | ') AS reasons, qualified, good, CAST(score AS BIGINT) AS score FROM matches"
@@ -91,7 +96,7 @@ REPOST_SQL = f"WITH {LOADS_SQL}" + DEDUPED_SQL.format(source="loads", by="") + "
 
 
 def market_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.baseline(M.first_posts(matches(spark, sf_dir), ["driver"]), ["driver"])
+    return M.baseline(first_matches(spark, sf_dir), ["driver"])
 
 
 _MEDIAN = "(list_sort({x})[(len({x}) + 1) // 2] + list_sort({x})[len({x}) // 2 + 1])"
@@ -118,7 +123,7 @@ FROM medians"""
 
 
 def market_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.zones(M.first_posts(matches(spark, sf_dir), ["driver"]), ["driver"])
+    return M.zones(first_matches(spark, sf_dir), ["driver"])
 
 
 ZONES_SQL = BASE + DEDUPED_SQL.format(source="matches", by="driver, ") + f""", places AS (
@@ -169,9 +174,7 @@ SELECT driver, CAST(place AS INTEGER) AS place, first_id, reload_id, gross, mile
 
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocker reasons of each driver, the five most frequent."""
-    counts = matches(spark, sf_dir).where("status = 'BLOCK'").select("driver", F.explode("block_reasons").alias("reason")).groupBy("driver", "reason").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
+    counts = matches(spark, sf_dir).where("status = 'BLOCK'").select("driver", F.explode(reasons_of(F.col("block_bits"))).alias("reason")).groupBy("driver", "reason").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("driver").orderBy(F.desc("n"), "reason"))).where("place <= 5")
 
 

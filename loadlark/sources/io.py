@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,3 +58,17 @@ def children(cases: DataFrame, key: str, column: str) -> DataFrame:
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it. A local session may go without: it gets a new one.
+
+    On a cluster a missing setting is an error, as other machines could not see what is written to a folder of this one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named

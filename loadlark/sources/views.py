@@ -9,14 +9,16 @@ from ..functions.text import mileage_bucket, rate_per_mile
 
 # Fixed values of the derived views.
 CITIES = ["Dallas, TX", "Houston, TX", "Chicago, IL", "Columbus, OH", "Atlanta, GA", "Nashville, TN", "Miami, FL", "Denver, CO", "Phoenix, AZ", "Reno, NV", "Seattle, WA", "Portland, OR", "Newark, NJ", "Boston, MA", "Charlotte, NC", "Birmingham, AL", "Memphis, TN", "Detroit, MI", "Tulsa, OK", "Fresno, CA"]
-NOTES = ["", "tarps required", "need 8 ft tarps", "no tarp needed", "hazmat load", "twic card needed", "tracking required macropoint", "us citizen only", "flatbed only", "flatbed preferred", "oversize permit required", "quickpay available", "cash or zelle", "ramps required", "tanker endorsement", "must provide wood"]
-TRAILERS = ["Flatbed", "Step Deck", "Van", "Conestoga"]
+NOTES = ["", "tarps required", "need 8 ft tarps", "no tarp needed", "hazmat load", "twic card needed", "tracking required macropoint", "us citizen only", "flatbed only", "flatbed preferred", "oversize permit required", "quickpay available", "cash or zelle", "ramps required", "tanker endorsement", "must provide wood", None, "HAZMAT LOAD", "8FT TARPS REQ", "No Conestogas", "U.S. Citizen, TWIC CARD", "Wide Load, Tarps not required"]
+TRAILERS = ["Flatbed", "Step Deck", "Van", "Conestoga", "FD"]
+COMMODITIES = ["Steel coils", "Lumber", "Machinery", None, "Hazardous resin", "ISO TANK"]
 VERBS = {"click": "called_broker", "error": "bad_broker", "purchase": "booked", "signup": "sent_to_driver", "view": "skipped"}
 REQUESTS = [
     ("alex", "Flatbed", 45000, 200, 2.0, "midwest", "", "Atlanta, GA", True, "8 ft", True, None, False, True, True, None, None, True, None),
     ("boris", "Conestoga", 40000, 150, 2.5, "texas", "dallas", "Memphis, TN", None, "", True, False, None, None, False, False, True, None, True),
     ("carl", "Step Deck", 47000, 250, 0.0, "northeast", "", "Charlotte, NC", True, "4 ft", False, True, True, False, None, None, None, False, False),
     ("dan", "Flatbed", 0, 0, 1.5, "west", "phoenix", "Denver, CO", False, "", True, None, None, None, False, False, False, True, True),
+    ("finn", "Conestoga", 46000, None, None, " TX", "", "", True, "8ft", None, None, None, None, None, None, None, None, None),
     ("egor", "Flatbed", 48000, 100, 3.0, "southeast", "", "Nashville, TN", None, "6 ft", None, True, None, True, None, True, None, None, None),
 ]
 REQUEST_FIELDS = "driver string, equipment string, max_weight long, max_empty long, min_rpm double, target string, target_city string, location string, can_tarp boolean, tarp_size string, tracking_ok boolean, hazmat boolean, tanker boolean, twic boolean, us_citizen boolean, green_card boolean, work_permit boolean, ramps boolean, dunnage boolean"
@@ -26,13 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: list[str], number: Column) -> Column:
+#: Bytes of a table that one task reads at most, as the file source cuts them.
+TASK_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that is smaller than one full task for each core may lie in a single row group: its rows are dealt out by key, so that
+    all cores take part. Larger tables are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * TASK_BYTES else df
+
+
+def pick(values: list[str | None], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values)).cast("int") + 1)
 
 
 def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One load for each line item; its broker is the supplier, its places follow the customer's and supplier's nations."""
-    line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    line, order = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     rows = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
@@ -43,11 +57,11 @@ def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 10 + number).alias("load_id"), rate.alias("rate"), loaded.alias("loaded_miles"), empty.alias("empty_miles"), (loaded + empty).alias("total_miles"),
         rate_per_mile(rate, loaded + empty).alias("total_rpm"), mileage_bucket(loaded, loaded + empty).alias("bucket"),
         (F.col("l_quantity").cast("long") * 1000).alias("weight"),
-        pick(CITIES, F.col("c_nationkey") + number).alias("pickup"), pick(CITIES, F.col("s_nationkey") * 3 + part).alias("delivery"),
-        pick(NOTES, part + key).alias("notes"), pick(TRAILERS, F.col("l_suppkey")).alias("posted"),
+        pick(CITIES, F.col("c_nationkey") + number).alias("pickup"), F.when(part % 89 != 0, pick(CITIES, F.col("s_nationkey") * 3 + part)).alias("delivery"),
+        pick(NOTES, part + key).alias("notes"), pick(TRAILERS, F.col("l_suppkey")).alias("posted"), pick(COMMODITIES, part + number).alias("commodity"),
         F.col("l_suppkey").cast("string").alias("broker_mc"), F.col("s_name").alias("broker_name"),
         F.when(key % 11 == 0, "needs check").otherwise(F.concat(F.lit("REF"), key)).alias("reference_id"),
-        F.to_date("l_shipdate").alias("pickup_date"),
+        F.to_date("l_shipdate").alias("pickup_date"), part.alias("part_no"),
     )
 
 
@@ -70,14 +84,15 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One dispatcher answer for each event, on a case chosen by the event's id."""
+    """One dispatcher answer for each event, on a case chosen by the event's id from the whole range of orders."""
+    n = table(spark, sf_dir, "orders").count()
     verb = F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair))[F.col("event_type")]
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("feedback_id"), (F.col("event_id") % 1000).alias("case_number"), F.concat(F.lit("driver"), F.col("user_id") % 40).alias("driver"), verb.alias("verb"), "ts", "value")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("feedback_id"), (F.col("event_id") * 7 % F.lit(n)).alias("case_number"), F.concat(F.lit("driver"), F.col("user_id") % 40).alias("driver"), verb.alias("verb"), "ts", "value")
 
 
 # The same views for DuckDB.
-def _sql_pick(values: list[str], number: str) -> str:
-    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[CAST(({number}) % {len(values)} AS INTEGER) + 1]"
+def _sql_pick(values: list[str | None], number: str) -> str:
+    return "([" + ", ".join(map(_sql_value, values)) + f"])[CAST(({number}) % {len(values)} AS INTEGER) + 1]"
 
 
 def _sql_value(x: object) -> str:
@@ -91,8 +106,8 @@ load_base AS (
          l_partkey % 1800 AS loaded_miles, (l_suppkey * 7 + l_linenumber * 13) % 300 AS empty_miles,
          l_partkey % 1800 + (l_suppkey * 7 + l_linenumber * 13) % 300 AS total_miles,
          CAST(l_quantity AS BIGINT) * 1000 AS weight,
-         {_sql_pick(CITIES, "c_nationkey + l_linenumber")} AS pickup, {_sql_pick(CITIES, "s_nationkey * 3 + l_partkey")} AS delivery,
-         {_sql_pick(NOTES, "l_partkey + l_orderkey")} AS notes, {_sql_pick(TRAILERS, "l_suppkey")} AS posted,
+         {_sql_pick(CITIES, "c_nationkey + l_linenumber")} AS pickup, CASE WHEN l_partkey % 89 <> 0 THEN {_sql_pick(CITIES, "s_nationkey * 3 + l_partkey")} END AS delivery,
+         {_sql_pick(NOTES, "l_partkey + l_orderkey")} AS notes, {_sql_pick(TRAILERS, "l_suppkey")} AS posted, {_sql_pick(COMMODITIES, "l_partkey + l_linenumber")} AS commodity, l_partkey AS part_no,
          CAST(l_suppkey AS VARCHAR) AS broker_mc, s_name AS broker_name,
          CASE WHEN l_orderkey % 11 = 0 THEN 'needs check' ELSE 'REF' || l_orderkey END AS reference_id,
          CAST(l_shipdate AS DATE) AS pickup_date
@@ -111,4 +126,4 @@ cases AS (
          substr(o_orderpriority, 1, 1) AS category, o_orderdate AS created_at
   FROM orders
 )"""
-FEEDBACK_SQL = "feedback AS (SELECT event_id AS feedback_id, event_id % 1000 AS case_number, 'driver' || (user_id % 40) AS driver, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in VERBS.items()) + " END AS verb, ts, value FROM events)"
+FEEDBACK_SQL = "feedback AS (SELECT event_id AS feedback_id, event_id * 7 % (SELECT count(*) FROM orders) AS case_number, 'driver' || (user_id % 40) AS driver, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in VERBS.items()) + " END AS verb, ts, value FROM events)"
