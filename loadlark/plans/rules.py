@@ -310,7 +310,7 @@ MATCHES_SQL = f"""said AS (
   SELECT *, NOT {_sql_any("said", NO_TARP_TERMS)} AND {_SQL_TARPS} AS tarps FROM said
 ), asked AS (SELECT *, CASE WHEN tarps THEN {_SQL_FEET.format("said")} ELSE 0 END AS tarp_feet FROM tarped
 ), drivers AS (
-  SELECT *, {_sql_state("location")} AS driver_state, contains(lower(coalesce(equipment, '')), 'conestoga') AS conestoga, {_SQL_FEET.format("lower(coalesce(tarp_size, ''))")} AS driver_feet FROM requests
+  SELECT * REPLACE (lower(trim(coalesce(target, ''))) AS target, lower(trim(coalesce(target_city, ''))) AS target_city), {_sql_state("location")} AS driver_state, contains(lower(coalesce(equipment, '')), 'conestoga') AS conestoga, {_SQL_FEET.format("lower(coalesce(tarp_size, ''))")} AS driver_feet FROM requests
 ), facts AS (
   SELECT *, coalesce(target_city, '') <> '' AND contains(lower(coalesce(delivery, '')), target_city) AS in_city, {_sql_in(TARGETS, "target", "delivery_state")} AS in_target,
          {_sql_in(ON_THE_WAY, "target", "delivery_state")} AS on_route FROM asked CROSS JOIN drivers

@@ -103,7 +103,7 @@ _FLAGS = [
 MATCHED = f"WITH {LOADS_SQL}, {REQUESTS_SQL}, {MATCHES_SQL}"
 ORACLES = {
     "record_ids": f"""WITH {LOADS_SQL}, r AS (SELECT {', '.join(IDENTITY)} FROM loads),
-k AS (SELECT *, CASE WHEN reference_id <> 'NO ID' THEN CASE WHEN broker_mc <> '' THEN 'MC' || broker_mc || '-' ELSE '' END || 'REF' || reference_id ELSE 'LOAD-' || substr(sha1(concat_ws('|', pickup, delivery, rate, loaded_miles, weight, broker_mc, substr(notes, 1, 300))), 1, 12) END AS load_key FROM r),
+k AS (SELECT *, CASE WHEN reference_id <> 'NO ID' THEN CASE WHEN broker_mc <> '' THEN 'MC' || broker_mc || '-' ELSE '' END || 'REF' || reference_id ELSE 'LOAD-' || substr(sha1(concat_ws('|', coalesce(pickup, ''), coalesce(delivery, ''), rate, loaded_miles, weight, broker_mc, coalesce(substr(notes, 1, 300), ''))), 1, 12) END AS load_key FROM r),
 c AS (SELECT *, 'CASE-' || substr(sha1(driver || CASE WHEN reference_id <> 'NO ID' THEN '|REF:' || reference_id ELSE '|LOAD:' || load_key END || '|MC:' || broker_mc), 1, 12) AS case_key FROM k)
 SELECT load_id, load_key, case_key, 'EVT-' || substr(sha1(concat_ws('|', case_key, 'AI_DECISION_CREATED', day, load_key)), 1, 12) AS event_key FROM c""",
     "outbox_links": f"""WITH {LOADS_SQL}, {CASES_SQL}, o AS (SELECT row_number() OVER () AS r, {', '.join(OUTBOX)} FROM loads), c AS (SELECT {', '.join(OUTBOX_CASES)} FROM cases),

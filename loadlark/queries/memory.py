@@ -178,7 +178,7 @@ UNION ALL SELECT broker_mc, 'LOWER', 'mostly skipped' FROM brokers WHERE skipped
 SELECT case_number, baseline, experiment, CASE WHEN baseline IS NULL THEN 'ADDED' WHEN experiment IS NULL THEN 'REMOVED' WHEN baseline = experiment THEN 'SAME' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (case_number)""",
     "verb_delta": f"WITH {FEEDBACK_SQL} SELECT verb, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS after, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') - count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS delta FROM feedback GROUP BY verb",
     "unsent_loads": f"WITH {LOADS_SQL}{_SENT} SELECT bucket, count(*) AS n FROM keyed WHERE repost_key NOT IN (SELECT key FROM sent) GROUP BY bucket",
-    "select_unsent": f"""WITH {LOADS_SQL}{_SENT}, {REQUESTS_SQL}, {MATCHES_SQL.replace("FROM loads CROSS JOIN", "FROM keyed CROSS JOIN")}, flagged AS (
+    "select_unsent": f"""WITH {LOADS_SQL}{_SENT}, {REQUESTS_SQL}, {MATCHES_SQL.replace("AS strong FROM loads", "AS strong FROM keyed")}, flagged AS (
   SELECT m.driver, m.load_id, m.score, m.rate, CASE WHEN s.key IS NULL THEN 1 ELSE 0 END AS unsent FROM matches m LEFT JOIN sent s ON m.repost_key = s.key WHERE m.good AND m.status <> 'BLOCK'
 ) SELECT driver, load_id, unsent FROM (SELECT *, coalesce(sum(unsent) OVER (PARTITION BY driver ORDER BY score DESC, rate DESC, load_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM flagged) WHERE before < 5""",
 }
