@@ -37,8 +37,8 @@ def format_chats(turns: DataFrame, *, budget: int = 2048, history: int = 512, co
     """One row per window: conv_id, window, n_system, n_repeated, n_new, n_tokens, formatted, loss (spans of formatted, in characters).
 
     Prefix sums of turn tokens choose the windows: each holds the system turn, if the first turn is one, then up to `history`
-    tokens of the turns before (never in part), then new turns while all fit in `budget`; a new turn that fits nowhere has
-    its own window. Targets are the texts of assistant turns; those of repeated turns are masked, so each is a target once.
+    tokens of the turns before (never in part, and only what the budget leaves beside the first new turn), then new turns while all
+    fit in `budget`; a new turn that does not fit beside the system turn has a window of its own, without history. Targets are the texts of assistant turns; those of repeated turns are masked, so each is a target once.
 
     A null text or role is empty. Turns go in the order of turn, role and text (nulls first), so ties and repeated rows have a
     defined place; repeated rows are turns of their own. A null conv_id is a conversation like others. An empty table gives no
@@ -48,9 +48,15 @@ def format_chats(turns: DataFrame, *, budget: int = 2048, history: int = 512, co
     t = t.withColumn("tokens", turn_tokens(F.col("text")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumns({"i": F.row_number().over(order) - 1, "upto": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    # the first turn of the history before turn i: the earliest whose tokens up to i - 1 are within `history`
+    first_tokens = F.first("tokens").over(order)
+    t = t.withColumns({"before": F.col("upto") - F.col("tokens"), "n_system": F.when(F.first("role").over(order) == "system", 1).otherwise(0)}).withColumn("system_tokens", F.col("n_system") * first_tokens)
+    # the first turn of the history before turn i: the earliest whose tokens up to i - 1 are within `history`, and within what the
+    # budget leaves beside the system turn and turn i itself; the turns looked at are bounded by `history`
     back = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)
-    t = t.withColumn("before", F.col("upto") - F.col("tokens")).withColumn("from", F.min("i").over(back)).withColumn("from_before", F.min("before").over(back))
+    room = F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget) - F.col("system_tokens") - F.col("tokens")))
+    near = F.filter(F.collect_list(F.struct("before", "i")).over(back), lambda y: (y["before"] >= F.col("before") - F.col("room")) & (y["i"] >= F.col("n_system")))
+    t = t.withColumn("room", room).withColumn("near", near)
+    t = t.withColumns({"from": F.coalesce(F.array_min(F.transform("near", lambda y: y["i"])), F.col("i")), "from_before": F.coalesce(F.array_min(F.transform("near", lambda y: y["before"])), F.col("before"))})
     conv = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text", "tokens", "before", "from", "from_before"))).alias("turns"))
     first = F.col("turns")[0]
     conv = conv.withColumn("n_system", F.when(first["role"] == "system", 1).otherwise(0)).withColumn("system_tokens", F.col("n_system") * first["tokens"])

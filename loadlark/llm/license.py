@@ -34,24 +34,42 @@ NOTICE_PHRASES = {
     "public domain": "public-domain",
     "redistribution and use in source and binary forms": "bsd",
 }
-# Starts of identifiers in expressions, their labels, and how free the use is, from 0 to 1.
+# Identifiers in expressions without version, their labels, and how free the use is, from 0 to 1.
 IDENTIFIERS = {
     "0bsd": ("bsd", 1.0),
     "agpl": ("agpl", 0.1),
     "apache": ("apache", 0.9),
+    "artistic": ("artistic", 0.6),
     "bsd": ("bsd", 0.9),
+    "bsl": ("bsl", 0.9),
+    "busl": ("busl", 0.0),
+    "cc-by": ("cc-by", 0.8),
     "cc-by-nc": ("cc-by-nc", 0.1),
+    "cc-by-nc-nd": ("cc-by-nc-nd", 0.0),
+    "cc-by-nc-sa": ("cc-by-nc-sa", 0.1),
+    "cc-by-nd": ("cc-by-nd", 0.1),
     "cc-by-sa": ("cc-by-sa", 0.5),
-    "cc-by": ("cc-by", 0.8),
     "cc0": ("public-domain", 1.0),
+    "cddl": ("cddl", 0.5),
     "epl": ("epl", 0.5),
+    "eupl": ("eupl", 0.4),
     "gpl": ("gpl", 0.3),
     "isc": ("isc", 0.9),
     "lgpl": ("lgpl", 0.5),
     "mit": ("mit", 0.9),
+    "mit-0": ("mit", 1.0),
     "mpl": ("mpl", 0.6),
+    "ofl": ("ofl", 0.7),
+    "postgresql": ("postgresql", 0.9),
+    "psf": ("psf", 0.8),
+    "python": ("psf", 0.8),
+    "sspl": ("sspl", 0.0),
     "unlicense": ("public-domain", 1.0),
+    "wtfpl": ("public-domain", 1.0),
+    "zlib": ("zlib", 0.9),
 }
+#: What may follow an identifier's name: clauses of BSD licences, a version with a jurisdiction, and whether later versions count.
+SUFFIX = re.compile(r"(?:-\d+-clause(?:-[a-z-]+)?)?(?:-\d+(?:\.\d+)*(?:-[a-z]{2,3})?)?(?:\+|-only|-or-later)?")
 FREEDOM = {label: free for label, free in IDENTIFIERS.values()} | {"reserved": 0.0}
 #: `with` binds tightest; an exception raises the freedom of the licence before it by this share of what is missing.
 PRECEDENCE, EXCEPTION_GAIN = {"or": 1, "and": 2, "with": 3}, 0.25
@@ -109,6 +127,12 @@ def tagged_expressions(text: str) -> Iterator[list[str]]:
             yield postfix
 
 
+def identifier(token: str) -> tuple[str, float]:
+    """Label and freedom of an identifier: a known name, then nothing but its version and the like. All else is `other`, 0."""
+    word = token.lower()
+    return next((IDENTIFIERS[k] for k in sorted(IDENTIFIERS, key=len, reverse=True) if word.startswith(k) and SUFFIX.fullmatch(word, len(k))), ("other", 0.0))
+
+
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     """How free the use is, and the labels: `or` lets the user choose, `and` binds to both, `with` eases what stands before it."""
     stack: list[tuple[float, set[str]]] = []
@@ -117,8 +141,7 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
             (b, more), (a, labels) = stack.pop(), stack.pop()
             stack.append((max(a, b), labels | more) if token == "or" else (min(a, b), labels | more) if token == "and" else (a + (1 - a) * EXCEPTION_GAIN, labels))
         else:
-            name = next((k for k in sorted(IDENTIFIERS, key=len, reverse=True) if token.lower().startswith(k)), None)
-            label, free = IDENTIFIERS[name] if name else ("other", 0.0)
+            label, free = identifier(token)
             stack.append((free, {label}))
     return stack[0]
 
@@ -127,8 +150,8 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase in {*BASE_PHRASES, *NOTICE_PHRASES}:
-        found.add_word(f" {phrase} ", (len(phrase) + 2, BASE_PHRASES.get(phrase), BASE_PHRASES.get(phrase) or NOTICE_PHRASES[phrase]))
-    found.add_word(TAG_WORDS, (len(TAG_WORDS), None, None))
+        found.add_word(f" {phrase} ", (phrase.count(" ") + 2, BASE_PHRASES.get(phrase), BASE_PHRASES.get(phrase) or NOTICE_PHRASES[phrase]))
+    found.add_word(TAG_WORDS, (TAG_WORDS.count(" "), None, None))
     found.make_automaton()
     return found
 
@@ -140,14 +163,16 @@ def _scan(batch: pa.RecordBatch, text_col: str) -> list:
         norm = spaced(raw)
         words = norm.decode("utf-8", "replace")
         base, base_labels, labels, tagged, free = [], set(), set(), False, []
-        for end, (length, base_label, label) in automaton.iter(words):
+        spaces = upto = 0  # spaces of the text up to the present hit: its ends come in order
+        for end, (own, base_label, label) in automaton.iter(words):
+            spaces, upto = spaces + words.count(" ", upto, end + 1), end + 1
             if label is None:
                 tagged = True
                 continue
             labels.add(label)
             free.append(FREEDOM[label])
             if base_label:
-                base.append(words.count(" ", 0, end + 1 - length))
+                base.append(spaces - own)
                 base_labels.add(base_label)
         expressions = []
         if tagged:

@@ -27,4 +27,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, per_c
     # fmt: on
     ids = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "__id")
-    return materialize(rows.select("text", "label").dropDuplicates(["text"]).limit(4 * per_class), f"sample-{label_col}")
+    # equal texts count once, with their larger label; should ids repeat, the smallest hashes of the texts choose
+    texts = rows.groupBy("text").agg(F.max("label").alias("label"))
+    return materialize(texts.orderBy(F.xxhash64("text"), "text").limit(4 * per_class), f"sample-{label_col}")

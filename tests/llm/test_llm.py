@@ -104,7 +104,7 @@ def test_chat_round_trip(spark, sf_dir, budget, history):
     by = defaultdict(list)
     for w in sorted(shown, key=lambda w: w.window):
         by[w.conv_id].append(w)
-        assert w.n_tokens <= budget or w.n_new == 1
+        assert w.n_tokens <= budget or (w.n_new == 1 and w.n_repeated == 0)
         assert w.formatted.count("### ") == w.n_system + w.n_repeated + w.n_new
     for conv, turns in turns_of(turns.collect()).items():
         parts = [read[conv, w.window] for w in by[conv]]
