@@ -1,50 +1,230 @@
-"""What a load's notes ask for: flags, sizes, weights and contacts as columns."""
+"""What a load's notes say: flags, sizes, weights, stops, times and contacts as columns, and the sentences of their summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The terms of each flag.
+# The pattern of each flag over cleaned text, and the sentence that it adds to the summary.
+WIDE = "(?:10[3-9]|1[1-9][0-9])"
 FLAGS = {
-    "tarps": ["tarps required", "need 8 ft tarps", "must tarp"],
-    "no_tarps": ["no tarp"],
-    "hazmat": ["hazmat", "hazardous"],
-    "twic": ["twic"],
-    "tracking": ["tracking required", "macropoint"],
-    "citizen": ["us citizen", "green card", "work permit"],
-    "flatbed_only": ["flatbed only", "must be flatbed"],
-    "oversize": ["oversize", "wide load", "permit required"],
-    "quickpay": ["quickpay", "quick pay"],
-    "cash": ["zelle", "cashapp", "venmo"],
-    "ramps": ["ramps required", "need ramps"],
-    "tanker": ["tanker"],
-    "wood": ["provide wood", "dunnage"],
+    "requires_straps": (r"\bstrap\s*and\s*go\b|\bstraps?\s*req(?:uired)?\b|\bneeds?\s*straps?\b|\b\d+\s*straps?\b", "straps required"),
+    "is_od": (
+        r"\bpermit\s*load\b|\bpermits?\s*required\b|\bpermit\s*needed\b|\bneeds?\s*permit\b|\bneed\s*permits\b|\brequires\s*permit\b"
+        r"|\bover\s*dimension(?:al)?\b|\blegal\s*over\s*dimension\b|\bover\s*size\b|\bwide\s*load\b|\bwide\b.*\bload\b"
+        r"|\bod\s*(?:load|permit|required|req|/\s*permit)\b|\bescort\s*required\b|\bpilot\s*car\b"
+        rf"|\b{WIDE}\s*(?:w|wide|inch\s*wide|inches\s*wide)\b|\b\d+\s*l\s*x\s*{WIDE}\s*w\b|\b\d+\s*x\s*{WIDE}\s*x\s*\d+\b|\b\d+\s*long\s*x\s*{WIDE}\s*wide\b"
+        r"|\b(?:9|1[0-6])(?:\s*ft|'|\s*feet)\s*wide\b",
+        "OD / permit / wide load detected",
+    ),
+    "is_overweight": (r"overweight|over weight|heavy haul", "overweight detected"),
+    "no_conestoga": (r"no conestoga|no stoga|conestoga no|flatbed only|flat only|must be flatbed|conestoga (?:wouldn't|would not|wont|won't) work|no con", "Conestoga may not be accepted"),
+    "conestoga_ok": (r"\bconestoga\s*(?:ok|works|accepted|would\s*work)\b|\bstoga\s*ok\b", "Conestoga appears acceptable"),
+    "flatbed_required": (r"flatbed only|must be flatbed|flat only|flatbed required|flatbed needed", "flatbed required"),
+    "flatbed_preferred": (r"\bflatbed\s*preferred\b|\bprefer(?:red)?\s*flatbed\b", "flatbed preferred; verify Conestoga acceptance"),
+    "stepdeck_allowed": (r"\bflatbed\s*(?:or|/)\s*step\s*deck\b|\bfd\s*or\s*sd\b|\bsd\s*or\s*fd\b|\bstep\s*deck\s*ok\b", "flatbed or step deck allowed"),
+    "no_box_truck": (r"\bno\s*box\b|\bno\s*box\s*trucks?\b", "no box truck"),
+    "forklift_required": (r"forklift|moffet|piggyback|loader required|unload(?:ing)? equipment|driver unload", "forklift / moffett / unloading equipment detected"),
+    "ramps_required": (r"\bneeds?\s*ramps\b|\bramps?\s*(?:required|needed|req)\b", "ramps required"),
+    "tracking_required": (r"tracking (?:req|must)|macro ?point|trucker tools|12 months? active mc required", "tracking required"),
+    "appointment_required": (r"appt|appointment", "appointment required"),
+    "straight_through": (r"straight thr(?:ough|u)|must deliver straight", "straight-through delivery detected"),
+    "cash_or_zelle": (r"\bcash\s*or\s*zelle\b|\bzelle(?:\s*or\s*cash)?\b|\bcash\s*app\b|\bcash\s*on\s*delivery\b", "cash/Zelle payment language detected"),
+    "quickpay_review": (r"\bquick\s*pay\b", "QuickPay language detected; check broker MC"),
+    "hazmat_required": (r"\bhaz\s*mat\b|\bhazmat\s*(?:required|with\s*tarps|load)\b", "hazmat required"),
+    "tanker_required": (r"\btanker(?:\s*required|\s*endorsment|\s*endorsement(?:\s*required)?)?\b", "tanker endorsement required"),
+    "twic_required": (r"\btwic(?:\s*card|\s*required)?\b", "TWIC required"),
+    "document_required": (r"\bus\s*citizen\b|\bu\.s\.\s*citizen\b|\bgreen\s*card\b|\bwork\s*permit\b|\bpassport\b|\bdriver\s*license\b|\bdl\s*required\b", "driver document requirement detected"),
+    "iso_tank_required": (r"\biso\s*tanks?\b", "ISO tank document/review warning detected"),
+    "extra_pickup": (r"\bextra\s*(?:pick\s*up|pu)\b|\badditional\s*(?:pickup|pu)\b", "extra pickup detected"),
+    "multiple_loads_available": (r"\b(?:multiple|more)\s*loads\s*available\b|\bseveral\s*loads\b", "multiple loads available"),
+    "dedicated_lane": (r"\bdedicated\s*lane\b|\bneed\s*solid\s*drivers?\b|\bconsistent\s*lane\b", "dedicated lane / solid driver language detected"),
+    "double_brokering_language": (r"\bdouble\s*brokering\b|\bno\s*double\s*broker(?:ing)?\b", "double brokering language detected"),
+    "mc_must_match": (r"\bmc\s*must\s*match\b|\b(?:carrier\s*)?name\s*must\s*match\b", "MC / carrier name must match"),
 }
+# Patterns of values; of several, the first that matches counts.
+NO_TARP = r"\bno\s*tarp(?:s|ing)?\b|\bnot\s*tarps?\b|\btarps?\s*not\s*(?:required|needed)\b"
+TARP = r"\btarps?\s*(?:required|req|needed)\b|\bneeds?\s*tarps?\b|\b\d+(?:\s*ft|'|\s*foot)\s*tarps?\b|\b[468]\s*ft\b"
+TARP_FEET = [r"\b([468])\s*ft\s*tarps?\b", r"\b([468])'\s*tarps?\b", r"\b([468])\s*foot\s*tarps?\b", r"\bneed\s*([468])\s*ft\b", r"\b([468])\s*ft\b"]
+STRAPS = r"\b(\d+)\s*straps?\b"
+_N = r"(\d+(?:\.\d+)?)"
+DIMENSIONS = [rf"\b{_N}\s*l\s*x\s*{_N}\s*w\s*x\s*{_N}\s*h\b", rf"\b{_N}\s*x\s*{_N}\s*x\s*{_N}\b", rf"\b{_N}\s*long\s*x\s*{_N}\s*wide\s*x\s*{_N}\s*high\b"]
+WEIGHT_UNKNOWN = r"\bweight\s*(?:needs\s*check|tbd|unknown)\b|\b(?:confirm|verify|call\s*for)\s*weight\b|\bweight\s*1\s*lbs?\b|\bposted\s*weight\s*1\b"
+WEIGHTS = [r"\b(\d{2,3})\s*k\s*lbs\b", r"\b(\d{2,3})\s*k\s*lb\b", r"\b(\d{2,3})\s*k\b", r"\b(\d{2,3},?\d{3})\s*lbs\b", r"\b(\d{2,3},?\d{3})\s*lb\b"]
+PICKUPS_DROPS = r"\b(\d+)\s*p\s*/\s*(\d+)\s*d\b"
+PICKUPS = [rf"\b(\d+)\s*{w}\b" for w in ("p/u", "pu", "pick", "pickup", "pickups", "p")]
+DROPS = [rf"\b(\d+)\s*{w}\b" for w in ("d/o", "del", "drop", "drops", "delivery", "deliveries", "d")]
+MULTISTOP = r"\bmulti\s*stops?\b|\bmultiple\s*(?:stops|drops|pickups)\b"
+FCFS = r"\bfcfs\s*\d{1,2}\s*(?:am|pm)?\s*(?:-|to)\s*\d{1,2}\s*(?:am|pm)?\b"
+WINDOWS = [r"\b\d{1,2}\s*(?:am|pm)\s*(?:-|to)\s*\d{1,2}\s*(?:am|pm)\b", r"\b(?:[01]\d{3}|2[0-3]\d{2})\s*(?:-|to)\s*(?:[01]\d{3}|2[0-3]\d{2})\b"]
+READY = r"\bready\s*now\b"
+_CITY, _COMMA, _DASH = r"([a-zA-Z\s.]+)", r"\s+([a-zA-Z\s.]+),\s*([A-Z]{2})", r"\s*[-:]+\s*([a-zA-Z\s.]+)\s*\(\s*([A-Z]{2})\s*\)"
+ACTUAL_CITIES = [
+    r"(?i)actual\s*pickup\s*in" + _COMMA, r"(?i)actual\s*pick\s*up\s*in" + _COMMA, r"(?i)actual\s*pu\s*in" + _COMMA, rf"(?i)actual\s*pickup\s*city\s+{_CITY},?\s+([A-Z]{{2}})",
+    r"(?i)actual\s*pick\s*up" + _DASH, r"(?i)actual\s*pickup" + _DASH, r"(?i)actual\s*pu" + _DASH, r"(?i)load\s*actually\s*in" + _COMMA, r"(?i)actually\s*load\s*in" + _COMMA,
+    r"(?i)actually\s*loads\s*in" + _COMMA, r"(?i)real\s*pickup\s*in" + _COMMA, r"(?i)correct\s*pickup\s*in" + _COMMA, r"(?i)pickup\s*is\s*actually\s*in" + _COMMA,
+]
+PHONE = r"(?i)(\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4})(?:\s*(?:x|ext|extension|ex)\s*\.?\s*(\d+))?"
+EMAILS = [
+    r"(?i)(?:^|[^A-Za-z0-9])((?:[A-Za-z0-9]\s+){2,}[A-Za-z0-9]\s+at\s+[A-Za-z0-9.\-]+\s+dot\s+[A-Za-z]{2,})",
+    r"(?i)([A-Za-z0-9._%+\-]+\s*@\s*[A-Za-z0-9.\-]+\s*(?:\.|`|,|\s+dot\s+|\s+)\s*[A-Za-z]{2,})",
+    r"(?i)([A-Za-z0-9._%+\-]+\s+at\s+[A-Za-z0-9.\-]+\s*(?:\.|\s+dot\s+|\s+)\s*[A-Za-z]{2,})",
+    r"(?i)([A-Za-z0-9._%+\-]+\s*\(\s*at\s*\)\s*[A-Za-z0-9.\-]+\s*\(\s*dot\s*\)\s*[A-Za-z]{2,})",
+    r"(?i)([A-Za-z0-9._%+\-]+\s*\[\s*at\s*\]\s*[A-Za-z0-9.\-]+\s*\[\s*dot\s*\]\s*[A-Za-z]{2,})",
+]
+# How spelled-out addresses are brought to their usual form, in this order, and what an address is.
+EMAIL_STEPS = [
+    ("`", "."), ("'", ""), (r"\s*\(\s*at\s*\)\s*", "@"), (r"\s*\[\s*at\s*\]\s*", "@"), (r"\s+at\s+", "@"), (r"\bat\b", "@"), (r"\s*\(\s*dot\s*\)\s*", "."),
+    (r"\s*\[\s*dot\s*\]\s*", "."), (r"\s+dot\s+", "."), (r"\bdot\b", "."), (" ", ""), (",", "."), (";", "."), (r"\.{2,}", "."), (r"^[.\-_:,/]+|[.\-_:,/]+$", ""),
+]
+IS_EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
+# Spellings of addresses in running text, domains that are often mistyped, and the forms of numbers.
+SPELLINGS = [("`com", ".com"), ("'com", ".com"), (",com", ".com"), (";com", ".com"), (" com", ".com"), ("(at)", "@"), ("[at]", "@"), (" at ", "@"), ("(dot)", "."), ("[dot]", "."), (" dot ", ".")]
+TYPOS = {"gmai.com": "gmail.com", "gmial.com": "gmail.com", "gnail.com": "gmail.com", "gmal.com": "gmail.com", "outlok.com": "outlook.com", "hotmial.com": "hotmail.com", "yaho.com": "yahoo.com"}
+ADDRESS = r"([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"
+NUMBERS = [r"(\(\d{3}\)\s*\d{3}[-\s]?\d{4})", r"\b(\d{3}[-\s]\d{3}[-\s]\d{4})\b"]
+EXTENSIONS = [r"(?i)\b(?:ext|extension)\s*\.?\s*(\d{1,6})\b", r"(?i)\bx\s*(\d{1,6})\b"]
 
 
-def flag(notes: Column, name: str) -> Column:
-    found = F.lit(False)
-    for term in FLAGS[name]:
-        found = found | F.contains(F.lower(notes), F.lit(term))
-    return found
+def clean(text: Column) -> Column:
+    """Lower case, separators as spaces, runs of white space as one."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "`_;|", ".   "), r"\s+", " "))
 
 
-def summary(notes: Column) -> Column:
-    """The names of the flags that the notes raise, in their order."""
-    return F.array_compact(F.array(*(F.when(flag(notes, n), F.lit(n)) for n in FLAGS)))
+def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
+    """What the first pattern that matches takes, else empty."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns), F.lit(""))
 
 
-def tarp_feet(notes: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.lower(notes), r"([468]) *(?:ft|feet|foot)", 1).try_cast("int"), F.lit(0))
+def _number(text: Column) -> Column:
+    return text.try_cast("int")
+
+
+def flag(text: Column, name: str) -> Column:
+    return text.rlike(FLAGS[name][0])
+
+
+def requires_tarp(text: Column) -> Column:
+    return ~text.rlike(NO_TARP) & text.rlike(TARP)
+
+
+def weight(text: Column) -> Column:
+    """Pounds between 1,000 and 100,000, given in thousands or in full; 0 without any."""
+    found = []
+    for p in WEIGHTS:
+        n = _number(F.replace(F.regexp_extract(text, p, 1), F.lit(","), F.lit("")))
+        n = F.when(n < 1000, n * 1000).otherwise(n)
+        found.append(F.when(n.between(1000, 100000), n))
+    return F.coalesce(*found, F.lit(0))
+
+
+def stops(text: Column) -> Column:
+    """Pickups and drops together; a kind that is not counted is one, `multi stop` is two, and 0 says nothing."""
+    both = _number(F.regexp_extract(text, PICKUPS_DROPS, 1)) + _number(F.regexp_extract(text, PICKUPS_DROPS, 2))
+    picked, dropped = _number(first_match(text, PICKUPS)), _number(first_match(text, DROPS))
+    counted = F.when(picked.isNotNull() | dropped.isNotNull(), F.coalesce(picked, F.lit(1)) + F.coalesce(dropped, F.lit(1)))
+    return F.coalesce(both, counted, F.when(text.rlike(MULTISTOP), 2), F.lit(0))
+
+
+def pickup_time(text: Column) -> Column:
+    window = first_match(text, WINDOWS, 0)
+    fcfs = F.coalesce(F.nullif(F.upper(F.regexp_extract(text, FCFS, 0)), F.lit("")), F.lit("FCFS - NEEDS HOURS CHECK"))
+    return F.when(text.contains("fcfs"), fcfs).when(window != "", F.upper(window)).when(text.rlike(READY), "Ready now").when(flag(text, "appointment_required"), "Appointment required").otherwise("")
+
+
+def actual_city(said: Column) -> Column:
+    """`City, ST` of the place that the notes call the actual pickup."""
+    places = [F.when(said.rlike(p), F.concat(F.btrim(F.regexp_extract(said, p, 1), F.lit(" .,-:")), F.lit(", "), F.upper(F.regexp_extract(said, p, 2)))) for p in ACTUAL_CITIES]
+    return F.when(said.rlike(r"(?i)actual|(?:real|correct)\s*pickup"), F.coalesce(*places, F.lit(""))).otherwise("")
+
+
+def normal_email(text: Column) -> Column:
+    """An address however it is spelled out, in lower case; empty if it is none."""
+    email = F.lower(F.trim(text))
+    for pattern, by in EMAIL_STEPS:
+        email = F.regexp_replace(email, pattern, by)
+    return F.when(email.rlike(IS_EMAIL), email).otherwise("")
+
+
+def email(said: Column) -> Column:
+    return F.coalesce(*(F.nullif(normal_email(F.regexp_extract(said, p, 1)), F.lit("")) for p in EMAILS), F.lit(""))
+
+
+def summary(said: Column, p: dict[str, Column]) -> Column:
+    """The sentences of what was found, in their order."""
+    sentence = {n: F.when(p[n], F.lit(s)) for n, (_, s) in FLAGS.items()}
+    value = lambda n, label: F.when(p[n].cast("string").isin("", "0"), None).otherwise(F.concat(F.lit(label), p[n].cast("string")))
+    contact = F.concat_ws(" / ", F.when(p["phone"] != "", F.concat(p["phone"], F.when(p["extension"] != "", F.concat(F.lit(" x"), p["extension"])).otherwise(""))), F.nullif(p["email"], F.lit("")))
+    special = {
+        "requires_tarp": F.when(p["requires_tarp"], F.trim(F.concat(p["tarp_size"], F.lit(" tarps detected")))),
+        "requires_straps": F.when(p["requires_straps"], F.when(p["strap_count"] > 0, F.concat(p["strap_count"].cast("string"), F.lit(" straps required"))).otherwise("straps required")),
+        "dimensions": value("dimensions", "dimensions detected: "),
+        "weight_unknown": F.when(p["weight_unknown"], "posted weight may be incorrect / must verify real weight"),
+        "detected_weight": value("detected_weight", "weight detected from notes: "),
+        "detected_stops": value("detected_stops", "stops detected from notes: "),
+        "detected_pickup_time": value("detected_pickup_time", "pickup time detected from notes: "),
+        "contact": F.when(contact != "", F.concat(F.lit("contact override detected: "), contact)),
+        "actual_pickup_city": value("actual_pickup_city", "actual pickup city detected from notes: "),
+    }
+    return F.array_compact(F.array(*((sentence | special)[n] for n in SUMMARY)))
+
+
+#: The order of the summary: what is asked for, what was read, then what else the notes say.
+_LAST = ["extra_pickup", "multiple_loads_available", "dedicated_lane", "double_brokering_language", "mc_must_match"]
+_VALUES = ["weight_unknown", "detected_weight", "detected_stops", "detected_pickup_time", "contact", "actual_pickup_city"]
+_FIRST = [n for n in FLAGS if n not in _LAST]
+SUMMARY = ["requires_tarp", *_FIRST[:2], "dimensions", *_FIRST[2:], *_VALUES, *_LAST]
+
+
+def parse_notes(rows: DataFrame, notes: str = "notes", commodity: str | None = "commodity", posted: str | None = "posted", posted_weight: str | None = "weight") -> DataFrame:
+    """Rows with a struct `parsed` of all that notes, commodity and posted trailer say; null texts are empty.
+
+    One projection without a shuffle: the texts are cleaned once and every flag is one pattern.
+    """
+    parts = [F.trim(F.coalesce(F.col(c), F.lit(""))) for c in (notes, commodity, posted) if c]
+    rows = rows.withColumn("__said", F.concat_ws(" ", *parts)).withColumn("__clean", clean(F.col("__said")))
+    said, text = F.col("__said"), F.col("__clean")
+    feet = first_match(text, TARP_FEET)
+    one_pound = F.coalesce(F.col(posted_weight).try_cast("double").try_cast("long") == 1, F.lit(False)) if posted_weight else F.lit(False)
+    values = {
+        "requires_tarp": requires_tarp(text), "tarp_size": F.when(feet == "", "").otherwise(F.concat(feet, F.lit(" ft"))),
+        **{n: flag(text, n) for n in FLAGS}, "strap_count": F.coalesce(_number(F.regexp_extract(text, STRAPS, 1)), F.lit(0)),
+        **{n: first_match(text, DIMENSIONS, g) for g, n in enumerate(("dimensions", "length", "width", "height"))},
+        "weight_unknown": one_pound | text.rlike(WEIGHT_UNKNOWN), "detected_weight": weight(text), "detected_stops": stops(text), "detected_pickup_time": pickup_time(text),
+        "phone": F.regexp_replace(F.regexp_extract(said, PHONE, 1), r"\s+", " "), "extension": F.regexp_extract(said, PHONE, 2), "email": email(said), "actual_pickup_city": actual_city(said),
+    }
+    rows = rows.withColumn("__parsed", F.struct(*(c.alias(n) for n, c in values.items())))
+    found = {n: F.col(f"__parsed.{n}") for n in values}
+    return rows.withColumn("parsed", F.struct(*(c.alias(n) for n, c in found.items()), summary(said, found).alias("summary"))).drop("__said", "__clean", "__parsed")
 
 
 def emails(text: Column) -> Column:
-    """All addresses in order, each once, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9])"), F.lit(1)), F.lower))
+    """All addresses in order, each once, in lower case, spelled-out and mistyped ones mended."""
+    for old, new in SPELLINGS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.regexp_replace(F.regexp_replace(text, r"\s*@\s*", "@"), r"\s*\.\s*", ".")
+
+    def mended(address: Column) -> Column:
+        address = F.lower(address)
+        for wrong, right in TYPOS.items():
+            address = F.regexp_replace(address, wrong.replace(".", r"\.") + "$", right)
+        return address
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(1)), mended))
 
 
 def phones(text: Column) -> Column:
-    """All numbers of ten digits in the usual spellings, as digits, each once."""
-    found = F.regexp_extract_all(text, F.lit(r"(\(?[0-9]{3}\)?[ .-][0-9]{3}-[0-9]{4})"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", "")))
+    """All numbers of ten digits as `(ddd) ddd-dddd`, each once; those with a bracketed area code first."""
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in NUMBERS))
+    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, "[^0-9]", ""), r"^(\d{3})(\d{3})(\d{4})$", r"($1) $2-$3")))
+
+
+def extensions(text: Column) -> Column:
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in EXTENSIONS)))
+
+
+def contact_summary(text: Column) -> Column:
+    """Numbers with the first extension, then addresses, joined by ` / `."""
+    ext = F.element_at(F.concat(extensions(text), F.array(F.lit(""))), 1)
+    told = F.transform(phones(text), lambda p: F.when(ext != "", F.concat(p, F.lit(" ext "), ext)).otherwise(p))
+    return F.array_join(F.concat(told, emails(text)), " / ")

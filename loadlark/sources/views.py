@@ -9,7 +9,10 @@ from ..functions.text import mileage_bucket, rate_per_mile
 
 # Fixed values of the derived views.
 CITIES = ["Dallas, TX", "Houston, TX", "Chicago, IL", "Columbus, OH", "Atlanta, GA", "Nashville, TN", "Miami, FL", "Denver, CO", "Phoenix, AZ", "Reno, NV", "Seattle, WA", "Portland, OR", "Newark, NJ", "Boston, MA", "Charlotte, NC", "Birmingham, AL", "Memphis, TN", "Detroit, MI", "Tulsa, OK", "Fresno, CA"]
-NOTES = ["", "tarps required", "need 8 ft tarps", "no tarp needed", "hazmat load", "twic card needed", "tracking required macropoint", "us citizen only", "flatbed only", "flatbed preferred", "oversize permit required", "quickpay available", "cash or zelle", "ramps required", "tanker endorsement", "must provide wood", None, "HAZMAT LOAD", "8FT TARPS REQ", "No Conestogas", "U.S. Citizen, TWIC CARD", "Wide Load, Tarps not required"]
+NOTES = ["", "tarps required", "need 8 ft tarps", "no tarp needed", "hazmat load", "twic card needed", "tracking required macropoint", "us citizen only", "flatbed only", "flatbed preferred", "oversize permit required", "quickpay available", "cash or zelle", "ramps required", "tanker endorsement", "must provide wood", None, "HAZMAT LOAD", "8FT TARPS REQ", "No Conestogas", "U.S. Citizen, TWIC CARD", "Wide Load, Tarps not required",
+    "6 straps, 48k lbs, 2P/1D, FCFS 8am-3pm", "58L x 111W x 7H, need 6 ft, call 555-123-4567 ext 45", "Actual pickup in Gary, IN; 1 pickup 2 drops", "email dispatch at example dot com, pickup 0800-1400",
+    "Acme Freight | MC# 445566 | Contact: (555) 111-2222 joe@gmai.com | Reference ID: AB-12 | Credit Score: 91 | Days to Pay: 27 | factoring eligible",
+    "No buy | MC #77 | name must match, no double brokering", "ready now, multi stop, verify weight, stepdeck ok", "driver unload, appt only, straight thru, extra pickup, several loads, dedicated lane, no box trucks"]
 TRAILERS = ["Flatbed", "Step Deck", "Van", "Conestoga", "FD"]
 COMMODITIES = ["Steel coils", "Lumber", "Machinery", None, "Hazardous resin", "ISO TANK"]
 VERBS = {"click": "called_broker", "error": "bad_broker", "purchase": "booked", "signup": "sent_to_driver", "view": "skipped"}
