@@ -80,12 +80,14 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query, ties to the smaller id; a candidate met in several tables counts once."""
-    order = np.lexsort((v, -s, q))
+    """The k best candidates of each query, ties to the smaller id; a candidate met several times counts once, with its best score."""
+    order = np.lexsort((-s, v, q))
     q, v, s = q[order], v[order], s[order]
     again = np.zeros(len(q), bool)
-    again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1])  # equal pairs have equal scores, so they stand together
+    again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1])
     q, v, s = q[~again], v[~again], s[~again]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
     first = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
     near = np.arange(len(q)) - first < k
     return q[near], v[near], s[near]
@@ -101,7 +103,8 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
     left out. Repeated rows are dropped before the k best of a block are taken, so that they take no places.
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the most common length take
-    no part, nor do rows without id. Equal scores go to the smaller id; repeated rows are one candidate. A query with fewer
+    no part, nor do rows without id. Equal scores go to the smaller id; repeated rows are one candidate, and rows that share
+    an id with other vectors too, by the best score of their vectors. A query with fewer
     candidates in its buckets than k is compared with all rows, in blocks of queries; an empty table gives no rows. Other
     columns are ignored.
     """
@@ -149,7 +152,9 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
         for ids, x, q_ids, q in blocks:
             cosines = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
             cosines[q_ids[:, None] == ids] = -2
-            near = np.sort(cosines, axis=1)[:, -min(k, len(ids))][:, None] - 1e-9
+            by_id = np.argsort(ids, kind="stable")
+            each = np.maximum.reduceat(cosines[:, by_id], np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0]), axis=1)
+            near = np.sort(each, axis=1)[:, -min(k, each.shape[1])][:, None] - 1e-9
             a, b = np.nonzero((cosines >= near) & (cosines > -2))
             # summed the same way whatever the block, so that equal vectors have equal scores
             exact = (q[a] * x[b]).sum(axis=1) / (np.sqrt((q[a] ** 2).sum(axis=1)) * np.sqrt((x[b] ** 2).sum(axis=1)))
@@ -172,8 +177,8 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
     # each task returns at most k candidates of a query and flush; what is left to sort is small
     found = materialize(pairs.mapInArrow(in_buckets, "query_id long, vec_id long, score double"), "candidates")
     # queries whose buckets hold fewer than k candidates are compared with all rows, in blocks
-    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.first("v").alias("v"))
-    served = found.distinct().groupBy("query_id").count().where(F.col("count") >= k)
+    queries = rows.where(F.col("id") % every == 0).distinct()
+    served = found.select("query_id", "vec_id").distinct().groupBy("query_id").count().where(F.col("count") >= k)
     lacking = materialize(queries.join(served, F.col("id") == F.col("query_id"), "left_anti"), "lacking")
     n_blocks = -(-lacking.count() // BLOCK_QUERIES)
     for block in range(n_blocks):
@@ -191,5 +196,5 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
 
         if asked:
             found = found.unionByName(rows.mapInArrow(all_rows, "query_id long, vec_id long, score double"))
-    best = found.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))

@@ -365,6 +365,17 @@ def test_nearest_counts_repeated_rows_once(spark):
             assert got == want, (repeats, width)
 
 
+def test_nearest_takes_the_best_vector_of_a_shared_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(30) for _ in range(3 if i % 4 == 0 else 1)]
+    score = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+    best = {i: max(score(x, y) for q, x in rows if q == 0 for j, y in rows if j == i) for i, _ in rows if i}
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    for width in (1.0, 1e-6):
+        got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), width=width).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == want and np.allclose([r.score for r in got], [best[i] for i in want]), width
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark, larger):
     docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
     held = [r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
