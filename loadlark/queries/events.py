@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators import watch as W
 from ..sources.io import shared_dir
-from ..sources.views import LOADS_SQL, loads, table
+from ..sources.views import LOADS_SQL, loads, pick, table
 from ..streaming import events as S
 
 TEXT_SQL = f"""WITH {LOADS_SQL}, docs AS (
@@ -70,6 +71,32 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES_SQL = "edges AS (SELECT DISTINCT user_id AS src, (user_id * 7 + event_id) % (SELECT max(user_id) FROM events) AS dst FROM events WHERE user_id <> (user_id * 7 + event_id) % (SELECT max(user_id) FROM events))"
 
 
+def watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as one of a watch, met by a watch in some state."""
+    e, user, n = table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_id")
+    return e.select("event_id", pick([*W.EVENTS, None, " clean_exit_found "], n * 7).alias("event_type"), pick([None, "WATCH_ACTIVE", "WATCH_MUTED", *W.TERMINAL], user).alias("watch_status"), (user % 5 == 0).alias("mute_normal_updates"))
+
+
+def watch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.watch_decisions(watch_events(spark, sf_dir)).select("event_id", "decision.*")
+
+
+WATCH_SQL = """WITH e AS (
+  SELECT event_id, ['PARENT_LOAD_ACTIVE', 'NORMAL_STATUS_DUE', 'MUTE_WATCH_UPDATES', 'DRIVER_LOADED', 'STOP_SEARCH', 'WATCH_STOPPED', 'PARENT_LOAD_REMOVED', 'PARENT_LOAD_UPDATED', 'CLEAN_EXIT_FOUND', 'STRONG_CHAIN_FOUND', 'PARENT_LOAD_ACTIVE', 'CLEAN_EXIT_FOUND'][event_id * 7 % 12 + 1] AS what,
+         ['WATCH_ACTIVE', 'WATCH_ACTIVE', 'WATCH_MUTED', 'WATCH_STOPPED', 'DRIVER_LOADED', 'PARENT_LOAD_REMOVED'][user_id % 6 + 1] AS state, user_id % 5 = 0 AS muted FROM events
+), j AS (
+  SELECT *, what IN ('DRIVER_LOADED', 'STOP_SEARCH', 'WATCH_STOPPED', 'PARENT_LOAD_REMOVED') OR (what = 'PARENT_LOAD_ACTIVE' AND state IN ('WATCH_STOPPED', 'DRIVER_LOADED', 'PARENT_LOAD_REMOVED')) AS ends,
+         what IN ('PARENT_LOAD_UPDATED', 'CLEAN_EXIT_FOUND', 'STRONG_CHAIN_FOUND') AS critical FROM e
+), k AS (SELECT *, NOT ends AND (muted OR state = 'WATCH_MUTED' OR what = 'MUTE_WATCH_UPDATES') AS mute FROM j)
+SELECT event_id, CASE WHEN ends AND what = 'PARENT_LOAD_ACTIVE' THEN state WHEN what = 'STOP_SEARCH' THEN 'WATCH_STOPPED' WHEN ends OR critical THEN what WHEN mute THEN 'WATCH_MUTED' ELSE 'WATCH_ACTIVE' END AS watch_status,
+       NOT ends AS continue_watch, ends AS stop_watch, what = 'NORMAL_STATUS_DUE' AND NOT mute AS send_normal_status, critical OR what = 'PARENT_LOAD_REMOVED' AS send_critical_alert, mute AS mute_normal_updates,
+       CASE what WHEN 'DRIVER_LOADED' THEN 'Driver is loaded; reload watch should stop.' WHEN 'STOP_SEARCH' THEN 'Dispatcher stopped search; reload watch should stop.' WHEN 'WATCH_STOPPED' THEN 'Reload watch was stopped.'
+         WHEN 'PARENT_LOAD_REMOVED' THEN 'Parent load was removed; notify dispatcher and stop reload watch.' WHEN 'PARENT_LOAD_UPDATED' THEN 'Parent load changed; notify dispatcher and continue watching.'
+         WHEN 'CLEAN_EXIT_FOUND' THEN 'Clean exit appeared; notify dispatcher and continue watching.' WHEN 'STRONG_CHAIN_FOUND' THEN 'Strong two-load chain appeared; notify dispatcher and continue watching.'
+         WHEN 'MUTE_WATCH_UPDATES' THEN 'Normal reload-watch updates are muted.' WHEN 'NORMAL_STATUS_DUE' THEN CASE WHEN mute THEN 'Normal reload-watch status is muted.' ELSE 'Normal reload-watch status is due.' END
+         ELSE CASE WHEN ends THEN 'Reload watch is already stopped or closed.' ELSE 'Reload watch remains active.' END END AS reason FROM k"""
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Graph operators cut lineage with checkpoints in the shared folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
@@ -90,6 +117,7 @@ QUERIES = {
     "event_sessions": lambda s, d: S.sessions(table(s, d, "events")),
     "board_fold": lambda s, d: S.fold_changes(table(s, d, "events")),
     "watch_states": lambda s, d: S.watch_states(table(s, d, "events")),
+    "watch_decisions": watch_decisions,
     "graph_degrees": lambda s, d: G.degrees(edges(s, d)),
     "graph_reachable": lambda s, d: G.reachable(edges(ready(s), d), s.range(0, 1).select(F.col("id").alias("node"))),
     "graph_components": lambda s, d: G.mutual_components(edges(ready(s), d)),
@@ -118,6 +146,7 @@ SELECT user_id, max(put) AS put_id, last(value ORDER BY ts, event_id) AS value,
     "watch_states": """WITH RECURSIVE n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'view' THEN 'MUTED' WHEN 'purchase' THEN 'BOOKED' WHEN 'error' THEN 'ATTENTION' ELSE 'WATCHING' END AS t FROM events),
 w AS (SELECT user_id, k, t AS state FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, CASE WHEN w.state = 'BOOKED' OR (w.state = 'MUTED' AND n.t = 'WATCHING') THEN w.state ELSE n.t END FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)
 SELECT user_id, last(state ORDER BY k) AS state, max(k) AS events FROM w GROUP BY user_id""",
+    "watch_decisions": WATCH_SQL,
     "graph_degrees": f"WITH {EDGES_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
     "graph_reachable": f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT 0::BIGINT AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.steps < (SELECT max(user_id) FROM events)) SELECT node, min(steps) AS steps FROM r GROUP BY node",
     "graph_components": f"WITH RECURSIVE {EDGES_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), p AS (SELECT src AS a, dst AS b FROM edges UNION SELECT p.a, e.dst FROM p JOIN edges e ON e.src = p.b) SELECT n.node, least(n.node, coalesce(min(p.b) FILTER (WHERE q.a IS NOT NULL), n.node)) AS component FROM n LEFT JOIN p ON p.a = n.node LEFT JOIN p q ON q.a = p.b AND q.b = n.node GROUP BY n.node",

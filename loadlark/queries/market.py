@@ -180,7 +180,19 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REASONS_SQL = BASE + " SELECT driver, reason, n, CAST(place AS INTEGER) AS place FROM (SELECT driver, reason, count(*) AS n, row_number() OVER (PARTITION BY driver ORDER BY count(*) DESC, reason) AS place FROM (SELECT driver, unnest(block_reasons) AS reason FROM matches WHERE status = 'BLOCK') GROUP BY driver, reason) WHERE place <= 5"
 
+
+def load_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.priorities(matches(spark, sf_dir)).select("driver", "load_id", "priority", "action", "worth")
+
+
+PRIORITIES_SQL = BASE + """ SELECT driver, load_id, CASE WHEN status = 'BLOCK' THEN 'BLOCK' WHEN score >= 90 THEN 'HIGH' WHEN score >= 75 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+  CASE WHEN status = 'BLOCK' THEN 'DO NOT SEND' WHEN status = 'REVIEW_ONCE' THEN 'REVIEW ONCE' WHEN score >= 85 THEN 'CALL NOW + EMAIL BACKUP' WHEN score >= 75 THEN 'CALL IF AVAILABLE' ELSE 'MONITOR' END AS action,
+  coalesce(nullif(concat_ws(', ', CASE WHEN rate >= 5000 THEN 'Strong gross' WHEN rate >= 3000 THEN 'Good gross' END, CASE WHEN total_rpm >= 4 THEN 'Excellent RPM' WHEN total_rpm >= 3 THEN 'Good RPM' END,
+    CASE WHEN empty_miles <= 50 THEN 'Low empty miles' WHEN empty_miles <= 150 THEN 'Acceptable empty miles' END, CASE status WHEN 'MATCH' THEN 'Matches driver target' WHEN 'REVIEW_ONCE' THEN 'Needs dispatcher review' END), ''),
+    'Potential opportunity based on current filters') AS worth FROM matches"""
+
 QUERIES = {
+    "load_priorities": load_priorities,
     "driver_match": driver_match,
     "flagship_bucket_stats": flagship_bucket_stats,
     "driver_fit": driver_fit,
@@ -194,6 +206,7 @@ QUERIES = {
     "reason_histogram": reason_histogram,
 }
 ORACLES = {
+    "load_priorities": PRIORITIES_SQL,
     "driver_match": DRIVER_MATCH_SQL,
     "flagship_bucket_stats": BUCKET_SQL,
     "driver_fit": FIT_SQL,
