@@ -153,7 +153,8 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
             cosines = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
             cosines[q_ids[:, None] == ids] = -2
             by_id = np.argsort(ids, kind="stable")
-            each = np.maximum.reduceat(cosines[:, by_id], np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0]), axis=1)
+            fresh = np.r_[True, np.diff(ids[by_id]) != 0]
+            each = cosines if fresh.all() else np.maximum.reduceat(cosines[:, by_id], np.flatnonzero(fresh), axis=1)
             near = np.sort(each, axis=1)[:, -min(k, each.shape[1])][:, None] - 1e-9
             a, b = np.nonzero((cosines >= near) & (cosines > -2))
             # summed the same way whatever the block, so that equal vectors have equal scores
