@@ -16,10 +16,13 @@ from .jaccard import near_duplicates
 from .license import scan_licenses
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .rules import apply_rules, fit_rules
+from .runs import find_runs
 from .sampling import held_out
 from .tokenbin import read_tokens, write_tokens
 from .toxicity import fit_severity, grade_toxicity
 from .urlfilter import judge_urls
+from .whitening import fit_whitening, whiten
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +105,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of the fit list, one row for each component. deviation is null beyond 64 bits."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors, components=16)
+    share = [float(v) / model.trace if model.trace > 0 else None for v in model.values]
+    rows = whiten(vectors, model, keep=["vec_id"]).select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, share)).cast("array<double>")
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.try_element_at(shares, F.col("at") + 1).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, of which one in ten, by the crc32 of its id, goes on repeating a stretch of its own words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("w"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    # the words before a, then the stretch of p words as often as it takes
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    woven = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), n), " ")
+    chosen = docs.withColumn("w", F.when(h % 10 == 0, words)).withColumns({"a": a.cast("int"), "p": p.cast("int")})
+    return chosen.select("doc_id", F.when(n > 0, woven).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document and the digests of all runs and of the text without their repeats."""
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4, keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.short")
+    return rows.select("doc_id", "n_runs", (-F.col("best.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of every document; the trees learn from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    judged = apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 #: Words of every document in DuckDB, A-Z lowered.
 WORDS_SQL = r"""
 words AS (
@@ -149,6 +193,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_pack": op9_pack,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
