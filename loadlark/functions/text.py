@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,15 @@ from pyspark.sql import functions as F
 NO_VALUE = ["", "-", "n/a", "na", "needs check", "no id", "none", "null", "unknown"]
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def to_number(text: Column) -> Column:
     """Digits of a posted amount, weight or distance; what can't be read is 0."""
     bare = F.trim(F.regexp_replace(text, r"[$,]|lbs|lb|mi", ""))
-    return F.coalesce(bare.try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.nullif(bare, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
 def to_bool(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import notes as N
+from ..functions.text import bind
 
 # The headers under which a field may come, the first that is filled counts.
 ALIASES = {
@@ -37,7 +38,7 @@ def whole(text: Column, default: int = 0) -> Column:
     """A posted amount as a whole number, cut towards zero; what can't be read is the default."""
     for sign in ("$", ",", "lbs", "lb", "mi"):
         text = F.replace(text, F.lit(sign), F.lit(""))
-    return F.coalesce(F.trim(text).try_cast("double").try_cast("long"), F.lit(default))
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")).try_cast("double").try_cast("long"), F.lit(default))
 
 
 def _any(text: Column, terms: list[str]) -> Column:
@@ -49,7 +50,8 @@ def normalize_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Headers that are not there count as empty, and so do null and blank values. Names, numbers and contacts are read from the
     notes where the row has none; a posted weight counts before the notes' one, but stops that the notes give before the posted
-    ones; flags hold if either says so. One projection without a shuffle; other columns are left out.
+    ones; flags hold if either says so. The notes are read by
+    parse_notes, each text once; the rest is a projection without a shuffle. Other columns are left out.
     """
     given = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in rows.columns else F.lit("")
     first = lambda names, default="": F.coalesce(*(F.nullif(given(n), F.lit("")) for n in names if n in rows.columns), F.lit(default))
@@ -70,7 +72,9 @@ def normalize_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     }
     out = out.withColumns({f"__{f}": F.when(F.col(f"__{f}") != "", F.col(f"__{f}")).otherwise(c) for f, c in from_notes.items()})
     heard = F.array_join(F.filter(F.array("__broker_contact", "__notes", "__broker_name"), lambda x: x != ""), " | ")
-    out = out.withColumn("__heard", heard).withColumns({"__emails": N.emails(F.col("__heard")), "__phones": N.phones(F.col("__heard")), "__contact": N.contact_summary(F.col("__heard"))})
+    lists = bind(heard, lambda x: F.struct(N.emails(x).alias("emails"), N.phones(x).alias("phones"), N.extensions(x).alias("extensions")))
+    reached = bind(lists, lambda x: F.struct((F.size(x["emails"]) > 0).alias("email"), (F.size(x["phones"]) > 0).alias("phone"), N.contact_summary(x["phones"], x["extensions"], x["emails"]).alias("contact")))
+    out = out.withColumn("__reached", reached)
     status, parsed = F.col("__broker_status"), lambda c: F.col(f"parsed.{c}")
     or_notes = lambda c, pattern: F.when(F.col(f"__{c}") != 0, F.col(f"__{c}")).otherwise(whole(F.regexp_extract(notes, pattern, 1)))
     told = F.when(F.size("parsed.summary") > 0, F.concat(F.lit("Parsed notes: "), F.array_join("parsed.summary", ", ")))
@@ -80,10 +84,10 @@ def normalize_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(F.col("__weight") != 0, F.col("__weight")).otherwise(parsed("detected_weight").cast("long")).alias("weight"),
         *(F.col(f"__{c}").alias(c) for c in ("posted_trailer_type", "commodity", "pickup_time", "delivery_time")),
         F.when(told.isNull(), notes).when(notes == "", F.concat(F.lit("| "), told)).otherwise(F.concat(notes, F.lit(" | "), told)).alias("notes"),
-        (F.col("__has_email") | (F.size("__emails") > 0)).alias("has_email"), (F.col("__has_phone") | (F.size("__phones") > 0)).alias("has_phone"),
+        (F.col("__has_email") | F.col("__reached.email")).alias("has_email"), (F.col("__has_phone") | F.col("__reached.phone")).alias("has_phone"),
         *((F.col(f"__{c}") | parsed(c)).alias(c) for c in ("requires_tarp", "is_od", "is_overweight")),
         F.when((status != "") & ~F.upper(status).isin(NO_STATUS), status).when(_any(low, ["no buy", "no-buy"]), "NO_BUY").when(low.contains("factoring status not clearly shown"), "BUY_REVIEW")
         .when(low.contains("factoring eligible"), "UNKNOWN").when(status != "", status).otherwise("UNKNOWN").alias("broker_status"),
-        *(F.col(f"__{c}").alias(c) for c in ("broker_name", "broker_mc")), F.when(F.col("__contact") != "", F.col("__contact")).otherwise(F.col("__broker_contact")).alias("broker_contact"),
+        *(F.col(f"__{c}").alias(c) for c in ("broker_name", "broker_mc")), F.when(F.col("__reached.contact") != "", F.col("__reached.contact")).otherwise(F.col("__broker_contact")).alias("broker_contact"),
         or_notes("credit_score", CREDIT).alias("credit_score"), or_notes("days_to_pay", DAYS).alias("days_to_pay"), F.col("__reference_id").alias("reference_id"), "parsed",
     )

@@ -178,27 +178,9 @@ def reload_chains(matches: DataFrame, by: str, near: DataFrame, k: int = 5) -> D
     gross = F.col("first_rate") + F.col("reload_rate")
     score = F.floor(gross / 100).cast("long") - F.floor(F.col("gap_miles") / 10).cast("long")
     pairs = pairs.withColumns({"gross": gross, "miles": F.col("first_miles") + F.col("reload_miles") + F.col("gap_miles"), "chain_score": score})
-    best = pairs.groupBy(by, "first_id").agg(F.max_by(F.struct("reload_id", "gross", "miles", "chain_score"), F.struct("chain_score", "gross", -F.col("reload_id"))).alias("best")).select(by, "first_id", "best.*")
-    order = Window.partitionBy(by).orderBy(F.desc("chain_score"), F.desc("gross"), "first_id")
+    # loads that share a number are told apart by all that a chain takes from them
+    own = ["first_id", "first_rate", "first_delivery", "first_miles", "first_date"]
+    best = pairs.groupBy(by, *own).agg(F.max_by(F.struct("reload_id", "gross", "miles", "chain_score"), F.struct("chain_score", "gross", -F.col("reload_id"))).alias("best")).select(by, *own, "best.*")
+    order = Window.partitionBy(by).orderBy(F.desc("chain_score"), F.desc("gross"), "first_id", "reload_id")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
-
-def priorities(matches: DataFrame) -> DataFrame:
-    """Matches with priority (BLOCK, else HIGH from a score of 90, MEDIUM from 75, LOW), the suggested action and why a load is worth it.
-
-    An optional column delivery_zone that holds `GOOD` is named among the reasons; nulls raise none.
-    """
-    rate, rpm, empty, status, score = (F.col(c) for c in ("rate", "total_rpm", "empty_miles", "status", "score"))
-    # The reasons of each measure, the first that applies.
-    worth = [
-        F.when(rate >= 5000, "Strong gross").when(rate >= 3000, "Good gross"), F.when(rpm >= 4, "Excellent RPM").when(rpm >= 3, "Good RPM"),
-        F.when(empty <= 50, "Low empty miles").when(empty <= 150, "Acceptable empty miles"), F.when(status == "MATCH", "Matches driver target").when(status == "REVIEW_ONCE", "Needs dispatcher review"),
-    ]
-    if "delivery_zone" in matches.columns:
-        worth.append(F.when(F.contains(F.upper("delivery_zone"), F.lit("GOOD")), "Good reload area"))
-    why = F.concat_ws(", ", *worth)
-    return matches.withColumns({
-        "priority": F.when(status == "BLOCK", "BLOCK").when(score >= 90, "HIGH").when(score >= 75, "MEDIUM").otherwise("LOW"),
-        "action": F.when(status == "BLOCK", "DO NOT SEND").when(status == "REVIEW_ONCE", "REVIEW ONCE").when(score >= 85, "CALL NOW + EMAIL BACKUP").when(score >= 75, "CALL IF AVAILABLE").otherwise("MONITOR"),
-        "worth": F.when(why == "", "Potential opportunity based on current filters").otherwise(why),
-    })

@@ -145,7 +145,7 @@ def load_facts(loads: DataFrame) -> DataFrame:
         # what texts ask for; CONESTOGA: it is not accepted, POSTED_FLATBED: an open deck is posted or preferred
         "__asks": _bits(*((n, _has_any(said, t)) for n, t in asked.items()), ("TARPS", tarps), ("OD_PERMIT", od), ("CONESTOGA", no_conestoga), ("POSTED_FLATBED", deck | verify)),
         "__verify": verify,
-        "__feet": F.when(tarps, F.coalesce(F.regexp_extract(said, FEET_PATTERN, 1).try_cast("int"), F.lit(0))).otherwise(0),
+        "__feet": F.when(tarps, F.coalesce(F.nullif(F.regexp_extract(said, FEET_PATTERN, 1), F.lit("")).try_cast("int"), F.lit(0))).otherwise(0),
         "__block": _apart(_bits(("SAME_CITY", (pickup != "") & (pickup == delivery)), ("LOCAL_MILES", (number("loaded_miles") > 0) & (number("loaded_miles") <= 10)), ("CASH_PAYMENT", cash))),
         "__review": _bits(("RATE_MISSING", number("rate") == 0), ("QUICKPAY", ~cash & _has_any(said, QUICKPAY_TERMS)), ("BROKER_BAD", memory == "BAD_BROKER_REVIEW"), ("BROKER_RATE", memory == "RATE_NEGOTIATION_REQUIRED"), ("BROKER_WATCH", memory == "WATCHLIST")),
         "__match": _bits(("BROKER_GOOD", memory == "GOOD")),
@@ -170,7 +170,7 @@ def request_facts(requests: DataFrame) -> DataFrame:
         "__has": _bits(*((n, yes(c)) for n, c in columns.items()), ("LEGAL_STATUS", any_paper)),
         "__lacks": _bits(*((n, no(c)) for n, c in columns.items()), ("LEGAL_STATUS", no_paper)),
         "conestoga": equipment.contains("conestoga"), "__only_conestoga": equipment == "conestoga",
-        "__driver_feet": F.coalesce(F.regexp_extract(F.lower(_text("tarp_size")), FEET_PATTERN, 1).try_cast("int"), F.lit(0)),
+        "__driver_feet": F.coalesce(F.nullif(F.regexp_extract(F.lower(_text("tarp_size")), FEET_PATTERN, 1), F.lit("")).try_cast("int"), F.lit(0)),
         "__city": F.lower(F.trim(_text("target_city"))), "__targets": _mask(TARGETS, target), "__route": _mask(ON_THE_WAY, target), "__near": _mask(NEIGHBOURS, F.col("driver_state")),
         "__limit": F.when(limit == 0, EMPTY_LIMIT).otherwise(limit), "__max_weight": F.coalesce(F.col("max_weight"), F.lit(0)), "__min_rpm": F.coalesce(F.col("min_rpm"), F.lit(0.0)),
     })
@@ -209,7 +209,7 @@ def _level(name: str) -> str:
     return " | ".join(p if isinstance(p, str) else _IF.format(BIT[p[0]], p[1]) for p in parts)
 
 
-#: Tiers of the opportunity score; status as known after the rules, zone_good 1 for deliveries to a good zone.
+# Tiers of the opportunity score and what each adds; status as known after the rules, zone_good 1 for deliveries to a good zone.
 SCORE = (
     "(CASE WHEN rate >= 5000 THEN 30 WHEN rate >= 3500 THEN 25 WHEN rate >= 2500 THEN 18 WHEN rate >= 1500 THEN 10 ELSE 5 END"
     " + CASE WHEN total_rpm >= 4 THEN 30 WHEN total_rpm >= 3 THEN 25 WHEN total_rpm >= 2.5 THEN 18 WHEN total_rpm >= 2 THEN 10 ELSE 3 END"

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import watch as W
-from ..sources.io import shared_dir
+from ..sources.io import checkpointed
 from ..sources.views import LOADS_SQL, loads, pick, table
 from ..streaming import events as S
 
 TEXT_SQL = f"""WITH {LOADS_SQL}, docs AS (
-  SELECT load_id * 1000000 + part_no % 1000000 AS load_id, concat_ws(chr(10), 'LOAD NUMBER: ' || reference_id, 'BROKER: ' || broker_name || ' MC ' || broker_mc, 'PICKUP', 'Location: ' || pickup, 'Date: ' || pickup_date, 'DELIVERY', 'Location: ' || delivery,
+  SELECT load_id, concat_ws(chr(10), 'LOAD NUMBER: ' || reference_id, 'BROKER: ' || broker_name || ' MC ' || broker_mc, 'PICKUP', 'Location: ' || pickup, 'Date: ' || pickup_date, 'DELIVERY', 'Location: ' || delivery,
     'RATE', 'Line haul: $' || (rate - empty_miles) || '.00', 'Fuel surcharge: $' || empty_miles || '.00', 'Total carrier rate: $' || rate || '.00', 'TERMS', 'Late fee up to $' || (weight // 100) || '.00', 'Weight: ' || weight || ' lbs') AS text
-  FROM (SELECT row_number() OVER (PARTITION BY load_id, part_no ORDER BY rate, loaded_miles, empty_miles, weight, broker_mc) AS rn, * FROM loads) WHERE rn = 1
+  FROM loads
 ), lines AS (SELECT load_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line FROM docs, unnest(range(1, 15)) AS u(i)
 ), sections AS (
   SELECT *, coalesce(last_value(CASE WHEN starts_with(line, 'PICKUP') THEN 'pickup' WHEN starts_with(line, 'DELIVERY') THEN 'delivery' WHEN starts_with(line, 'RATE') THEN 'rate' WHEN starts_with(line, 'TERMS') THEN 'terms' END IGNORE NULLS)
@@ -32,10 +32,8 @@ TEXT_SQL = f"""WITH {LOADS_SQL}, docs AS (
 
 
 def documents_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rate confirmation for each load number and part: load numbers alone are shared, and would leave out a quarter of the loads."""
-    one = Window.partitionBy("load_id", "part_no").orderBy("rate", "loaded_miles", "empty_miles", "weight", "broker_mc")
-    first = loads(spark, sf_dir).withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return X.rate_confirmations(first.withColumn("load_id", F.col("load_id") * 1000000 + F.col("part_no") % 1000000))
+    """One rate confirmation for each load."""
+    return X.rate_confirmations(loads(spark, sf_dir))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +96,7 @@ SELECT event_id, CASE WHEN ends AND what = 'PARENT_LOAD_ACTIVE' THEN state WHEN
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Graph operators cut lineage with checkpoints in the shared folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    checkpointed(spark)
     return spark
 
 

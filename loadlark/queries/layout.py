@@ -11,7 +11,7 @@ from ..sources.views import table
 from .events import TEXT_SQL, documents_of_loads
 
 # Terms of the templates.
-TERMS = [("menu", "|"), ("menu", " | the"), ("shout", "!!"), ("shout", "the!!"), ("symbols", "%%%"), ("symbols", "$$$"), ("symbols", "***"), ("prose", "the "), ("prose", ". "), ("prose", "and ")]
+TEMPLATES = {"menu": ["|", " | the"], "shout": ["!!", "the!!"], "symbols": ["%%%", "$$$", "***"], "prose": ["the ", ". ", "and "]}
 
 
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.match_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", spark.createDataFrame(TERMS, "template string, term string"))
+    return Y.match_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", TEMPLATES)
 
 
 QUERIES = {"label_values": label_values, "template_match": template_match}
@@ -33,6 +33,6 @@ ORACLES = {
   FROM parts a JOIN parts b ON a.load_id = b.load_id AND a.page = b.page
 )
 SELECT load_id, label, value, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY load_id, label_line ORDER BY score DESC, value_line) AS place FROM pairs WHERE score IS NOT NULL) WHERE place = 1""",
-    "template_match": "WITH t(template, term) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TERMS) + """), h AS (SELECT doc_id, template, count(*) FILTER (WHERE contains(lower(text), term)) AS hits, count(*) AS terms FROM documents, t GROUP BY doc_id, template),
+    "template_match": "WITH t(template, term) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, terms in TEMPLATES.items() for b in terms) + """), h AS (SELECT doc_id, template, count(*) FILTER (WHERE contains(lower(text), term)) AS hits, count(*) AS terms FROM documents, t GROUP BY doc_id, template),
 r AS (SELECT *, CAST(hits * 100 // terms AS INTEGER) AS share FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, hits DESC, template DESC) AS n FROM r) SELECT doc_id, CASE WHEN share >= 50 THEN template END AS template, share FROM b WHERE n = 1""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import market as M
+from ..operators.decisions import with_priority
 from ..plans.rules import MATCHES_SQL, match_loads, reasons_of, with_reasons
 from ..sources.views import CITIES, LOADS_SQL, REQUESTS_SQL, loads, requests
 
@@ -182,7 +183,8 @@ REASONS_SQL = BASE + " SELECT driver, reason, n, CAST(place AS INTEGER) AS place
 
 
 def load_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.priorities(matches(spark, sf_dir)).select("driver", "load_id", "priority", "action", "worth")
+    """Priority, suggested action and reason of every match."""
+    return with_priority(matches(spark, sf_dir)).select("driver", "load_id", "priority", F.col("suggested_action").alias("action"), F.col("opportunity_reason").alias("worth"))
 
 
 PRIORITIES_SQL = BASE + """ SELECT driver, load_id, CASE WHEN status = 'BLOCK' THEN 'BLOCK' WHEN score >= 90 THEN 'HIGH' WHEN score >= 75 THEN 'MEDIUM' ELSE 'LOW' END AS priority,

@@ -102,13 +102,19 @@ def verb_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of loads sent before: those of every third load."""
-    return M.first_posts(loads(spark, sf_dir)).where("load_id % 3 = 0").select(F.col("repost_key").alias("key"))
+    """Keys of loads sent before: those of every third load; those of even days are known by the older key of broker, lane and date."""
+    rows = with_keys(M.first_posts(loads(spark, sf_dir)).where("load_id % 3 = 0"))
+    return rows.select(F.when(F.dayofmonth("pickup_date") % 2 == 0, F.col("legacy_key")).otherwise(F.col("repost_key")).alias("key"))
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Loads with today's key and the one that older records hold."""
+    return rows.withColumns({"repost_key": M.repost_key(rows), "legacy_key": F.concat_ws("|", "broker_mc", "pickup", "delivery", "pickup_date")})
 
 
 def unsent_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = loads(spark, sf_dir).withColumn("repost_key", M.repost_key(loads(spark, sf_dir))).withColumn("legacy_key", F.concat_ws("|", "broker_mc", "pickup", "delivery"))
-    return R.unsent(rows, sent(spark, sf_dir), ["repost_key"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Loads by bucket that were sent neither under today's key nor under the older one."""
+    return R.unsent(with_keys(loads(spark, sf_dir)), sent(spark, sf_dir), ["repost_key", "legacy_key"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def select_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +148,7 @@ QUERIES = {
     "unsent_loads": unsent_loads,
     "select_unsent": select_unsent,
 }
-_SENT = DEDUPED_SQL.format(source="loads", by="") + ", sent AS (SELECT DISTINCT repost_key AS key FROM deduped WHERE load_id % 3 = 0)"
+_SENT = DEDUPED_SQL.format(source="loads", by="") + ", sent AS (SELECT DISTINCT CASE WHEN day(pickup_date) % 2 = 0 THEN concat_ws('|', broker_mc, pickup, delivery, CAST(pickup_date AS VARCHAR)) ELSE repost_key END AS key FROM deduped WHERE load_id % 3 = 0)"
 ORACLES = {
     "broker_memory": BROKERS_SQL + " SELECT * FROM brokers",
     "driver_memory": f"""{BASE}, counts AS (SELECT lower(feedback_driver) AS driver, count(*) AS answers, count(DISTINCT broker_mc) AS brokers, CAST(sum(rate) AS BIGINT) AS total_rate, {VERBS_SQL} FROM joined GROUP BY 1)
@@ -177,7 +183,7 @@ UNION ALL SELECT broker_mc, 'LOWER', 'mostly skipped' FROM brokers WHERE skipped
     "selected_compare": f"""WITH {FEEDBACK_SQL}, a AS (SELECT case_number, last(verb ORDER BY feedback_id) AS baseline FROM feedback WHERE feedback_id % 3 <> 0 GROUP BY 1), b AS (SELECT case_number, last(verb ORDER BY feedback_id) AS experiment FROM feedback WHERE feedback_id % 4 <> 0 GROUP BY 1)
 SELECT case_number, baseline, experiment, CASE WHEN baseline IS NULL THEN 'ADDED' WHEN experiment IS NULL THEN 'REMOVED' WHEN baseline = experiment THEN 'SAME' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (case_number)""",
     "verb_delta": f"WITH {FEEDBACK_SQL} SELECT verb, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS after, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') - count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS delta FROM feedback GROUP BY verb",
-    "unsent_loads": f"WITH {LOADS_SQL}{_SENT} SELECT bucket, count(*) AS n FROM keyed WHERE repost_key NOT IN (SELECT key FROM sent) GROUP BY bucket",
+    "unsent_loads": f"WITH {LOADS_SQL}{_SENT} SELECT bucket, count(*) AS n FROM keyed WHERE repost_key NOT IN (SELECT key FROM sent) AND concat_ws('|', broker_mc, pickup, delivery, CAST(pickup_date AS VARCHAR)) NOT IN (SELECT key FROM sent) GROUP BY bucket",
     "select_unsent": f"""WITH {LOADS_SQL}{_SENT}, {REQUESTS_SQL}, {MATCHES_SQL.replace("AS strong FROM loads", "AS strong FROM keyed")}, flagged AS (
   SELECT m.driver, m.load_id, m.score, m.rate, CASE WHEN s.key IS NULL THEN 1 ELSE 0 END AS unsent FROM matches m LEFT JOIN sent s ON m.repost_key = s.key WHERE m.good AND m.status <> 'BLOCK'
 ) SELECT driver, load_id, unsent FROM (SELECT *, coalesce(sum(unsent) OVER (PARTITION BY driver ORDER BY score DESC, rate DESC, load_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM flagged) WHERE before < 5""",

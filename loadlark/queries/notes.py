@@ -80,7 +80,7 @@ def _email_sql(text: str) -> str:
 
 
 _WEIGHTS = "coalesce(" + ", ".join(f"(SELECT CASE WHEN v BETWEEN 1000 AND 100000 THEN v END FROM (SELECT CASE WHEN u < 1000 THEN u * 1000 ELSE u END AS v FROM (SELECT {_int(f'''replace({_x(p)}, ',', '')''')} AS u)))" for p in N.WEIGHTS) + ", 0)"
-_CITIES = "coalesce(" + ", ".join(f"CASE WHEN {_is(p, 'said')} THEN trim({_x(p, 1, 'said')}, ' .,-:') || ', ' || upper({_x(p, 2, 'said')}) END" for p in N.ACTUAL_CITIES) + ", '')"
+_CITIES = "coalesce(" + ", ".join(f"CASE WHEN {_is(p, 'said')} THEN trim({_x(p, 1, 'said')}, ' .,-:') || ', ' || upper({_x(p, 2, 'said')}) END" for p in N.CITY_PATTERNS) + ", '')"
 _EMAIL = "coalesce(" + ", ".join(f"(SELECT CASE WHEN {_is(N.IS_EMAIL, 'e')} THEN e END FROM (SELECT {_email_sql(_x(p, 1, 'said'))} AS e))" for p in N.EMAILS) + ", '')"
 _SENTENCES = {n: f"CASE WHEN {n} THEN {_q(s)} END" for n, (_, s) in N.FLAGS.items()} | {
     "requires_tarp": "CASE WHEN requires_tarp THEN trim(tarp_size || ' tarps detected') END",
@@ -101,11 +101,11 @@ def parsed_sql(source: str, notes: str, commodity: str, posted: str, one_pound:
   SELECT {columns}, concat_ws(' ', trim(coalesce({notes}, '')), trim(coalesce({commodity}, '')), trim(coalesce({posted}, ''))) AS said, {one_pound} AS one_pound,
          trim(regexp_replace(translate(lower(concat_ws(' ', trim(coalesce({notes}, '')), trim(coalesce({commodity}, '')), trim(coalesce({posted}, '')))), '`_;|', '.   '), '\\s+', ' ', 'g')) AS clean FROM {source}
 ), measured AS (
-  SELECT *, NOT {_is(N.NO_TARP)} AND {_is(N.TARP)} AS requires_tarp, CASE WHEN {_first(N.TARP_FEET)} = '' THEN '' ELSE {_first(N.TARP_FEET)} || ' ft' END AS tarp_size,
-         {", ".join(f"{_is(p)} AS {n}" for n, (p, _) in N.FLAGS.items())}, coalesce({_int(_x(N.STRAPS))}, 0) AS strap_count,
+  SELECT *, NOT {_is(N.one_of(N.NO_TARP))} AND {_is(N.one_of(N.TARP))} AS requires_tarp, CASE WHEN {_first(N.TARP_FEET)} = '' THEN '' ELSE {_first(N.TARP_FEET)} || ' ft' END AS tarp_size,
+         {", ".join(f"{_is(N.one_of(p))} AS {n}" for n, (p, _) in N.FLAGS.items())}, coalesce({_int(_x(N.STRAPS))}, 0) AS strap_count,
          {", ".join(f"{_first(N.DIMENSIONS, g)} AS {n}" for g, n in enumerate(("dimensions", "length", "width", "height")))},
-         one_pound OR {_is(N.WEIGHT_UNKNOWN)} AS weight_unknown, {_WEIGHTS} AS detected_weight,
-         coalesce({_int(_x(N.PICKUPS_DROPS))} + {_int(_x(N.PICKUPS_DROPS, 2))}, CASE WHEN {_first(N.PICKUPS)} <> '' OR {_first(N.DROPS)} <> '' THEN coalesce({_int(_first(N.PICKUPS))}, 1) + coalesce({_int(_first(N.DROPS))}, 1) END, CASE WHEN {_is(N.MULTISTOP)} THEN 2 END, 0) AS detected_stops,
+         one_pound OR {_is(N.one_of(N.WEIGHT_UNKNOWN))} AS weight_unknown, {_WEIGHTS} AS detected_weight,
+         coalesce({_int(_x(N.PICKUPS_DROPS))} + {_int(_x(N.PICKUPS_DROPS, 2))}, CASE WHEN {_first(N.PICKUPS)} <> '' OR {_first(N.DROPS)} <> '' THEN coalesce({_int(_first(N.PICKUPS))}, 1) + coalesce({_int(_first(N.DROPS))}, 1) END, CASE WHEN {_is(N.one_of(N.MULTISTOP))} THEN 2 END, 0) AS detected_stops,
          CASE WHEN contains(clean, 'fcfs') THEN coalesce(nullif(upper({_x(N.FCFS, 0)}), ''), 'FCFS - NEEDS HOURS CHECK') WHEN {_first(N.WINDOWS, 0)} <> '' THEN upper({_first(N.WINDOWS, 0)})
               WHEN {_is(N.READY)} THEN 'Ready now' WHEN contains(clean, 'appt') OR contains(clean, 'appointment') THEN 'Appointment required' ELSE '' END AS detected_pickup_time,
          regexp_replace({_x(N.PHONE, 1, "said")}, '\\s+', ' ', 'g') AS phone, {_x(N.PHONE, 2, "said")} AS extension, {_EMAIL} AS email, {_CITIES} AS actual_pickup_city FROM cleaned

@@ -31,33 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a table that one task reads at most, as the file source cuts them.
-TASK_BYTES = 128 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table that is smaller than one full task for each core may lie in a single row group: its rows are dealt out by key, so that
-    all cores take part. Larger tables are read as they lie, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * TASK_BYTES else df
-
-
 def pick(values: list[str | None], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values)).cast("int") + 1)
 
 
 def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One load for each line item; its broker is the supplier, its places follow the customer's and supplier's nations."""
-    line, order = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    """One load for each line item; its broker is the supplier, its places follow the customer's and supplier's nations.
+
+    A load's id holds order, line, part and quantity, as lines of an order share their number. Line items are dealt out by order,
+    at any size: that is how they meet orders too large to broadcast, and a table in a single row group still fills all cores.
+    """
+    line, order = table(spark, sf_dir, "lineitem").repartition("l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     rows = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
     key, number, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    load_id = (key * 10 + number) * 100_000_000 + part % 1_000_000 * 100 + F.col("l_quantity").cast("long")
     loaded, empty = part % 1800, (F.col("l_suppkey") * 7 + number * 13) % 300
     rate = F.when(part % 37 == 0, 0).otherwise(F.floor(F.col("l_extendedprice") / 10)).cast("long")
     return rows.select(
-        (key * 10 + number).alias("load_id"), rate.alias("rate"), loaded.alias("loaded_miles"), empty.alias("empty_miles"), (loaded + empty).alias("total_miles"),
+        load_id.alias("load_id"), rate.alias("rate"), loaded.alias("loaded_miles"), empty.alias("empty_miles"), (loaded + empty).alias("total_miles"),
         rate_per_mile(rate, loaded + empty).alias("total_rpm"), mileage_bucket(loaded, loaded + empty).alias("bucket"),
         (F.col("l_quantity").cast("long") * 1000).alias("weight"),
         pick(CITIES, F.col("c_nationkey") + number).alias("pickup"), F.when(part % 89 != 0, pick(CITIES, F.col("s_nationkey") * 3 + part)).alias("delivery"),
@@ -104,7 +97,7 @@ def _sql_value(x: object) -> str:
 
 LOADS_SQL = f"""
 load_base AS (
-  SELECT l_orderkey * 10 + l_linenumber AS load_id,
+  SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey % 1000000 * 100 + CAST(l_quantity AS BIGINT) AS load_id,
          CASE WHEN l_partkey % 37 = 0 THEN 0 ELSE CAST(floor(l_extendedprice / 10) AS BIGINT) END AS rate,
          l_partkey % 1800 AS loaded_miles, (l_suppkey * 7 + l_linenumber * 13) % 300 AS empty_miles,
          l_partkey % 1800 + (l_suppkey * 7 + l_linenumber * 13) % 300 AS total_miles,

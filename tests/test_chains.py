@@ -5,6 +5,7 @@ import random
 import re
 
 from loadlark.operators import market as M
+from loadlark.operators import memory as R
 
 FIELDS = "driver string, load_id long, rate long, pickup string, delivery string, total_miles long, pickup_date date, strong boolean, good boolean, in_target boolean, in_city boolean"
 
@@ -31,3 +32,19 @@ def test_chains_equal_brute_force_and_meet_few_reloads(spark, capsys):
     chains.explain("formatted")
     plan = capsys.readouterr().out
     assert re.search(r"Keys \[3\]: \[driver#\d+, reload_pickup#\d+, reload_date#\d+\]", plan)
+
+
+def test_loads_that_share_a_number_each_keep_their_chain(spark):
+    day = dt.date(2024, 1, 1)
+    first = [("a", 1, rate, "Z", "X", 500, day, True, True, False, False) for rate in (3000, 9000)]
+    reload = [("a", 2, 700, "X", "Y", 100, day + dt.timedelta(1), False, True, True, False)]
+    near = spark.createDataFrame([("X", "X", 0)], "delivery string, pickup string, miles long")
+    chains = M.reload_chains(spark.createDataFrame(first + reload, FIELDS), "driver", near).orderBy("place").collect()
+    assert [(r.first_id, r.gross, r.reload_id) for r in chains] == [(1, 9700, 2), (1, 3700, 2)]
+
+
+def test_unsent_goes_by_each_rows_own_keys(spark):
+    loads = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "b", "y"), (2, None, "z"), (3, "c", None), (4, None, None)], "load_id long, key_a string, key_b string")
+    sent = spark.createDataFrame([("a",), ("z",), ("a",), (None,)], "key string")
+    assert sorted((r.load_id, r.key_a or "", r.key_b or "") for r in R.unsent(loads, sent, ["key_a", "key_b"]).collect()) == [(1, "b", "y"), (1, "b", "y"), (3, "c", ""), (4, "", "")]
+    assert R.unsent(loads, sent.limit(0), ["key_a"]).count() == 6

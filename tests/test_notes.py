@@ -1,5 +1,7 @@
 """What notes and board rows say, on hand-written cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def test_summary_and_posted_weight(spark):
 
 def test_contacts_in_text(spark):
     row = spark.createDataFrame([("Joe at GMIAL dot com, (555)111-2222 or 555 111 2222 x 9, joe@gmail.com; a@b.org",), (None,)], "text string")
-    first, none = row.select(N.emails(F.col("text")).alias("e"), N.phones(F.col("text")).alias("p"), N.extensions(F.col("text")).alias("x"), N.contact_summary(F.col("text")).alias("c")).collect()
+    first, none = row.select(N.emails(F.col("text")).alias("e"), N.phones(F.col("text")).alias("p"), N.extensions(F.col("text")).alias("x"), N.contact_summary(N.phones(F.col("text")), N.extensions(F.col("text")), N.emails(F.col("text"))).alias("c")).collect()
     assert first.e == ["joe@gmail.com", "a@b.org"] and first.p == ["(555) 111-2222"] and first.x == ["9"]
     assert first.c == "(555) 111-2222 ext 9 / joe@gmail.com / a@b.org"
     assert none.e is None and none.c is None
@@ -105,3 +107,37 @@ def test_board_rows(spark):
     assert a.broker_contact == "(555) 111-2222" and a.has_phone and not a.has_email and a.posted_trailer_type == "Conestoga"
     assert a.notes.startswith(notes + " | Parsed notes: ") and a.broker_status == "UNKNOWN"
     assert (b.pickup, b.rate, b.weight, b.stops, b.broker_name, b.notes, b.is_od, b.broker_status) == ("", 0, 45000, 2, "", "", True, "UNKNOWN")
+
+
+def test_board_rows_by_other_headers(spark):
+    """Aliases in second place, statuses that say nothing, given stops, and a row without any header of ours."""
+    rows = spark.createDataFrame(
+        [("", "Reno, NV", "n/a", "3", "900", "no buy today"), ("Gary, IN", "Reno, NV", "", "3", "900", "2P/2D, factoring eligible"), ("Gary, IN", "", "Approved", "x", None, "No Buy")],
+        "pickup string, origin string, brokerStatus string, stops string, miles string, load_comments string",
+    )
+    a, b, c = B.normalize_rows(rows).collect()
+    assert (a.pickup, a.broker_status, a.stops, a.loaded_miles) == ("Reno, NV", "NO_BUY", 3, 900)
+    assert (b.pickup, b.broker_status, b.stops) == ("Gary, IN", "UNKNOWN", 4)
+    assert (c.pickup, c.broker_status, c.stops, c.loaded_miles) == ("Gary, IN", "Approved", 2, 0)
+    other = B.normalize_rows(spark.createDataFrame([("x", 1)], "colour string, n long")).first()
+    assert (other.pickup, other.rate, other.stops, other.posted_trailer_type, other.broker_status, other.notes) == ("", 0, 2, "Conestoga", "UNKNOWN", "")
+
+
+def test_texts_are_read_once_and_rows_kept(spark):
+    """Repeated texts meet one reading each; rows, their repeats and their null texts all stay."""
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "need 8 ft tarps" if i % 3 == 1 else "twic", 1 if i % 2 else 5) for i in range(30)] * 2, "i long, notes string, weight long")
+    out = N.parse_notes(rows, commodity=None, posted=None).select("i", "parsed.tarp_size", "parsed.twic_required", "parsed.weight_unknown").collect()
+    assert sorted(tuple(r) for r in out) == sorted(2 * [(i, "8 ft" if i % 3 == 1 else "", i % 3 == 2, i % 2 == 1) for i in range(30)])
+
+
+@pytest.mark.parametrize("name", ["notes_parsed", "notes_flags", "board_loads"])
+def test_no_generated_method_is_too_large_to_compile(name, spark, sf_dir, capsys):
+    from loadlark.queries import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it will run
+    try:
+        QUERIES[name](spark, sf_dir).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

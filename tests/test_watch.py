@@ -2,7 +2,7 @@
 
 import pytest
 
-from loadlark.operators.market import priorities
+from loadlark.operators.decisions import with_priority
 from loadlark.operators.watch import watch_decisions
 
 CASES = [
@@ -41,4 +41,4 @@ def test_watch_decisions(spark):
 )
 def test_priorities(spark, row, wanted):
     df = spark.createDataFrame([row], "rate long, total_rpm double, empty_miles long, status string, score long")
-    assert priorities(df).select("priority", "action", "worth").first() == wanted
+    assert with_priority(df).select("priority", "suggested_action", "opportunity_reason").first() == wanted
