@@ -16,8 +16,8 @@ from .common import bounded_batches, materialize
 TABLES, HASHES, WIDTH, PROBES = 14, 4, 1.0, 30
 #: Rows that one chunk builder holds, and scored pairs that a task holds before it keeps only the best.
 CHUNK_ROWS, HELD_PAIRS = 20_000, 1 << 20
-#: Queries with too few candidates that one pass compares with all rows.
-BLOCK_QUERIES = 2048
+#: Queries with too few candidates that one pass compares with all rows, and queries that are scored against a chunk's rows at once.
+BLOCK_QUERIES, SCORED_QUERIES = 2048, 512
 CHUNK = "slot int, bucket long, ids binary, vectors binary"
 
 
@@ -167,11 +167,16 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)], schema=out)
 
+    def few_queries(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores of one block take SCORED_QUERIES x CHUNK_ROWS doubles at most, 80 MB, however hot the bucket is."""
+        for at in range(0, len(q_ids), SCORED_QUERIES):
+            yield ids, x, q_ids[at : at + SCORED_QUERIES], q[at : at + SCORED_QUERIES]
+
     def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
             for batch in batches:
                 for ids, vectors, q_ids, q_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(q_ids, np.int64), np.frombuffer(q_vectors).reshape(-1, dim)
+                    yield from few_queries(np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(q_ids, np.int64), np.frombuffer(q_vectors).reshape(-1, dim))
 
         return scored(blocks())
 
@@ -191,7 +196,7 @@ def nearest(embeddings: DataFrame, *, every: int = 50, k: int = 5, tables: int =
                 for batch in batches:
                     ids, x = batch.column("id").to_numpy(), _vectors(batch.column("v"))[0]
                     kept = _least_copies(ids, x, k + 1)
-                    yield ids[kept], x[kept], *sent.value
+                    yield from few_queries(ids[kept], x[kept], *sent.value)
 
             return scored(blocks())
 
