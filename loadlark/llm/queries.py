@@ -26,11 +26,13 @@ from .whitening import fit_whitening, whiten
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a ten-word window of a benchmark item, and the digest of the items found."""
     marked = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to seekable files in ascending order of the ids and read back from them."""
     manifest = write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_tokens(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
@@ -51,6 +53,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of licence phrases in every document, and how free the use is under all that was found."""
     found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
@@ -60,6 +63,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each page's url, and its verdict."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
 
@@ -81,25 +85,30 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector by cosine."""
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of quality for every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the class of documents that it reaches by links of 85 % similarity."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     graded = grade_toxicity(docs, fit_severity(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "score", "predicted")
