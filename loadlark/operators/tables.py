@@ -1,7 +1,7 @@
 """Tables of documents: what their cells, headers and kinds mean, and the stops that their rows hold.
 
 A cell is a row of `id, page, table_id, row, col, header, text`; `header` may be null where nothing marks header rows. Cells of one
-table meet in one partition once; what follows (cells, columns, rows, tables) keeps that partitioning.
+table meet in one partition once; what follows (rows, tables) keeps that partitioning.
 """
 
 from __future__ import annotations
@@ -69,26 +69,25 @@ def plain_text(text: Column) -> Column:
 
 def cell_role(text: Column) -> Column:
     """What a cell is about: the first role with a term in it, else the first pattern that its value has, else unknown."""
-    role = F.lit(None).cast("string")
-    tests = [(name, plain_text(text).rlike(any_term(terms))) for name, terms in ROLE_TERMS.items()] + [(name, F.coalesce(text, F.lit("")).rlike(p)) for name, p in VALUE_PATTERNS]
-    for name, holds in reversed(tests):
-        role = F.when(holds, name).otherwise(role)
-    return F.coalesce(role, F.lit("unknown"))
+    terms = lambda low: [F.when(low.rlike(any_term(words)), name) for name, words in ROLE_TERMS.items()]
+    values = [F.when(F.coalesce(text, F.lit("")).rlike(p), name) for name, p in VALUE_PATTERNS]
+    return bind(plain_text(text), lambda low: F.coalesce(*terms(low), *values, F.lit("unknown")))
 
 
-def header_label(role: Column, low: Column) -> Column:
+def header_label(role: Column, text: Column) -> Column:
     """The name under which a header's column is known: the kind of load number, a reference number, else the role."""
-    label = F.lit("load_number")
-    for term, name in reversed(IDENTITY_LABELS):
-        label = F.when(low.contains(term), name).otherwise(label)
-    return F.when(role == "load_identity", label).when(role == "reference", "reference_number").otherwise(role)
+    low = F.lower(text)
+    load = F.coalesce(*(F.when(low.contains(term), name) for term, name in IDENTITY_LABELS), F.lit("load_number"))
+    return F.when(role == "load_identity", load).when(role == "reference", "reference_number").otherwise(role)
 
 
-def _placed(cells: DataFrame, id_col: str) -> tuple[DataFrame, list[str]]:
-    """Each cell once, all cells of a table in one partition; of a cell that is given twice the larger text counts."""
+def _rows(cells: DataFrame, id_col: str) -> tuple[DataFrame, list[str]]:
+    """Each row of a table with its cells by column, all rows of a table in one partition; of a cell given twice the larger text counts."""
     keys = [id_col, "page", "table_id"]
-    once = cells.repartition(*keys).groupBy(*keys, "row", "col").agg(F.max("header").alias("header"), F.coalesce(F.trim(F.max("text")), F.lit("")).alias("text"))
-    return once, keys
+    text = F.trim(F.coalesce("text", F.lit(""))).alias("text")
+    rows = cells.repartition(*keys).groupBy(*keys, "row").agg(F.max("header").alias("header"), F.array_sort(F.collect_list(F.struct("col", text))).alias("listed"))
+    last = F.filter("listed", lambda c, i: F.coalesce(F.get("listed", i + 1)["col"] != c["col"], F.lit(True)))
+    return rows.select(*keys, "row", "header", last.alias("cells")), keys
 
 
 def table_semantics(cells: DataFrame, id_col: str) -> DataFrame:
@@ -97,23 +96,18 @@ def table_semantics(cells: DataFrame, id_col: str) -> DataFrame:
     The header is the row with most cells that have a role, of the first three; of equal ones the first; without any there is none.
     A table is a stop table if any of its rows holds a stop's term, else a load table by the same test, else a rate table by terms or by a
     header's role, else unrecognized. Terms are looked for in a row's cells joined by spaces; a term cut by the end of a row isn't
-    found. Confidence in percent: 20 and 15 for each column with a role, at most 95. `role_counts` counts rows by the role of their whole text.
+    found. Confidence in percent: 20 and 15 for each column with a role, at most 95. `rows_*` count rows by the role of their whole text.
     """
-    once, keys = _placed(cells, id_col)
-    seen = once.withColumns({"role": cell_role(F.col("text")), "low": plain_text(F.col("text"))})
-    known = F.col("role") != "unknown"
-    rows = seen.groupBy(*keys, "row").agg(
-        F.count_if(known).alias("n_roles"), F.max("col").alias("last_col"),
-        F.array_sort(F.collect_list(F.when(known, F.struct("col", "role", header_label(F.col("role"), F.col("low")).alias("label"))))).alias("headers"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ").alias("row_text"),
-    )
+    rows, keys = _rows(cells, id_col)
+    roles = F.filter(F.transform("cells", lambda c: bind(cell_role(c["text"]), lambda role: F.struct(c["col"].alias("col"), role.alias("role"), header_label(role, c["text"]).alias("label")))), lambda h: h["role"] != "unknown")
+    rows = rows.select(*keys, "row", F.element_at("cells", -1)["col"].alias("last_col"), F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("row_text"), roles.alias("headers"))
+    holds = bind(plain_text(F.col("row_text")), lambda low: F.struct(*(low.rlike(any_term(ROLE_TERMS[role])).alias(kind) for kind, role in (("stop", "stop_role"), ("load", "load_identity"), ("rate", "rate")))))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("row"))
-    holds = {f"has_{kind}": plain_text(F.col("row_text")).rlike(any_term(ROLE_TERMS[role])) for kind, role in (("stop", "stop_role"), ("load", "load_identity"), ("rate", "rate"))}
-    rows = rows.withColumns({"place": place, "row_role": cell_role(F.col("row_text"))} | holds)
+    rows = rows.select("*", F.size("headers").alias("n_roles"), holds.alias("holds"), cell_role(F.col("row_text")).alias("row_role"), place.alias("place"))
     order = F.when((F.col("place") <= HEADER_ROWS) & (F.col("n_roles") > 0), F.struct("n_roles", -F.col("place")))
     tables = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"), (F.max("last_col") + 1).alias("column_count"), F.max_by(F.struct("row", "n_roles", "headers"), order).alias("head"),
-        *(F.max(name).alias(name) for name in holds), *(F.count_if(F.col("row_role") == role).alias(f"rows_{role}") for role in ROLE_TERMS),
+        *(F.max(f"holds.{kind}").alias(f"has_{kind}") for kind in ("stop", "load", "rate")), *(F.count_if(F.col("row_role") == role).alias(f"rows_{role}") for role in ROLE_TERMS),
     )
     rate_header = F.coalesce(F.exists("head.headers", lambda h: h["role"] == "rate"), F.lit(False))
     kind = F.when(F.col("has_stop"), "stop").when(F.col("has_load"), "load").when(F.col("has_rate") | rate_header, "rate").otherwise("unrecognized")
@@ -138,41 +132,36 @@ def table_stops(cells: DataFrame, id_col: str) -> DataFrame:
     stops. A cell that isn't empty is a candidate of its column's kind (90); a date or time within it is one too, unless an earlier
     cell of the row holds one (82 in columns of other kinds, 72 in columns of no kind, which come last). Rows without candidates are no stops.
     """
-    once, keys = _placed(cells, id_col)
-    table, column, row = Window.partitionBy(*keys), Window.partitionBy(*keys, "col"), Window.partitionBy(*keys, "row")
-    once = once.withColumn("header", F.when(F.max(F.col("header").cast("int")).over(table) == 1, F.coalesce("header", F.lit(False))).otherwise(F.col("row") == 0))
-    once = once.withColumn("first_header", F.min(F.when(F.col("header"), F.col("row"))).over(table))
-    once = once.withColumns({
-        "kind": F.max(F.when(F.col("row") == F.col("first_header"), column_kind(F.col("text")))).over(column),
-        "has_date": F.col("text").rlike(any_signal(DATE_SIGNALS)), "has_time": F.col("text").rlike(any_signal(TIME_SIGNALS)),
-    })
-    said = [F.max(F.when(F.col("kind") == f, 1).otherwise(0)).over(table) for f in STOP_FIELDS]
-    signal = F.max((~F.col("header") & (F.col("has_date") | F.col("has_time"))).cast("int")).over(table)
-    below = once.withColumns({"n_kinds": said[0] + said[1] + said[2] + said[3], "located": said[0], "signal": signal}).where(~F.col("header"))
-    below = below.where((F.col("n_kinds") >= 2) | ((F.col("located") == 1) & (F.col("signal") == 1)))
-    held, labelled = F.col("text") != "", F.col("kind").isin(STOP_FIELDS)
-    used = held & (labelled | F.col("kind").isNull())
-    earlier = row.orderBy(F.when(F.col("kind").isNull(), 1).otherwise(0), "col").rowsBetween(Window.unboundedPreceding, -1)
-
-    def within(field: str) -> Column:
-        """A date or time within a cell of another kind, unless an earlier cell of the row holds one."""
-        known = F.max(F.when(used & (F.col(f"has_{field}") | (F.col("kind") == field)), 1)).over(earlier)
-        return F.when(used & F.col(f"has_{field}") & (F.coalesce("kind", F.lit("")) != field) & known.isNull(), F.struct(F.lit(field).alias("field"), F.when(labelled, 82).otherwise(72).alias("confidence")))
-
-    own = F.when(used & labelled, F.struct(F.col("kind").alias("field"), F.lit(90).alias("confidence")))
-    found = below.withColumn("found", F.array_compact(F.array(own, within("date"), within("time"))))
-    cell = F.concat(F.lit("r"), F.col("row").cast("string"), F.lit("c"), F.col("col").cast("string"))
-    named = F.transform("found", lambda f: F.struct(f["field"].alias("field"), F.concat(cell, F.lit("_"), f["field"]).alias("candidate"), f["confidence"].alias("confidence")))
-    low = F.lower("text")
-    stops = found.groupBy(*keys, "row").agg(
-        F.max(low.rlike(any_term(PICKUP_TERMS))).alias("picks"), F.max(low.rlike(any_term(DELIVERY_TERMS))).alias("drops"),
-        F.min_by(F.regexp_replace("text", "[^0-9]", ""), F.when(F.col("kind") == "sequence", F.col("col"))).alias("digits"),
-        F.array_sort(F.flatten(F.collect_list(named))).alias("fields"),
-    ).where(F.size("fields") > 0)
+    rows, keys = _rows(cells, id_col)
+    table = Window.partitionBy(*keys)
+    signals = lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), c["text"].rlike(any_signal(DATE_SIGNALS)).alias("date"), c["text"].rlike(any_signal(TIME_SIGNALS)).alias("time"))
+    rows = rows.select(*keys, "row", F.transform("cells", signals).alias("cells"), "header", F.max("header").over(table).alias("marked"))
+    rows = rows.withColumn("header", F.when(F.col("marked"), F.coalesce("header", F.lit(False))).otherwise(F.col("row") == 0))
+    kinds = F.filter(F.transform("cells", lambda c: F.struct(c["col"].alias("key"), column_kind(c["text"]).alias("value"))), lambda k: k["value"].isNotNull())
+    head = F.min(F.when(F.col("header"), F.struct("row", kinds.alias("kinds")))).over(table)
+    signal = F.max(~F.col("header") & F.exists("cells", lambda c: c["date"] | c["time"])).over(table)
+    rows = rows.select(*keys, "row", "cells", "header", head["kinds"].alias("kinds"), signal.alias("signal")).where(~F.col("header"))
+    fields = F.array_intersect(F.array(*map(F.lit, STOP_FIELDS)), F.transform("kinds", lambda k: k["value"]))
+    rows = rows.where((F.size(fields) >= 2) | (F.array_contains(fields, "location") & F.col("signal")))
+
+    kind_of = F.map_from_entries("kinds")
+    told = F.transform("cells", lambda c: F.struct(F.isnull(kind_of[c["col"]]).alias("bare"), c["col"].alias("col"), c["text"].alias("text"), kind_of[c["col"]].alias("kind"), c["date"].alias("date"), c["time"].alias("time")))
+    used = F.array_sort(F.filter("told", lambda c: (c["text"] != "") & (c["bare"] | c["kind"].isin(STOP_FIELDS))))
+    first = lambda field: F.array_position(F.transform("used", lambda c: c[field] | (F.coalesce(c["kind"], F.lit("")) == field)), True)
+    rows = rows.withColumn("told", told).withColumn("used", used).withColumns({"first_date": first("date"), "first_time": first("time")})
+
+    def candidates(c: Column, i: Column) -> Column:
+        named = lambda field, sure: F.struct(field.alias("field"), F.concat(F.lit("r"), F.col("row").cast("string"), F.lit("c"), c["col"].cast("string"), F.lit("_"), field).alias("candidate"), sure.alias("confidence"))
+        within = lambda field: F.when((F.col(f"first_{field}") == i + 1) & c[field] & (F.coalesce(c["kind"], F.lit("")) != field), named(F.lit(field), F.when(c["bare"], 72).otherwise(82)))
+        return F.array_compact(F.array(F.when(~c["bare"], named(c["kind"], F.lit(90))), within("date"), within("time")))
+
+    holds = lambda terms: F.exists("cells", lambda c: F.lower(c["text"]).rlike(any_term(terms)))
+    numbered = F.get(F.filter("told", lambda c: c["kind"] == "sequence"), F.lit(0))["text"]
+    stops = rows.select(*keys, "row", holds(PICKUP_TERMS).alias("picks"), holds(DELIVERY_TERMS).alias("drops"), F.regexp_replace(numbered, "[^0-9]", "").alias("digits"), F.array_sort(F.flatten(F.transform("used", candidates))).alias("fields"))
     number = F.nullif(F.nullif("digits", F.lit("")).try_cast("long"), F.lit(0))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("page", "table_id", "row")).cast("long")
     kind = F.when(F.col("picks"), "pickup").when(F.col("drops"), "delivery").otherwise("stop")
-    return stops.select(
+    return stops.where(F.size("fields") > 0).select(
         *keys, "row", F.concat(F.col("table_id").cast("string"), F.lit("_row_"), F.col("row").cast("string")).alias("group_id"), F.coalesce(number, place).alias("sequence"),
         kind.alias("stop_type"), F.when(F.col("picks") | F.col("drops"), 90).otherwise(55).alias("confidence"), (~F.col("picks") & ~F.col("drops")).alias("ambiguous"), "fields",
     )

@@ -30,11 +30,11 @@ def table_cells(rows: DataFrame) -> DataFrame:
     """The cells of four tables for each load, written from its columns."""
 
     def cells(form: list) -> F.Column:
-        return F.array(*(F.struct(F.lit(t).alias("table_id"), F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(h).cast("boolean").alias("header"), F.expr(x).cast("string").alias("text")) for t, r, c, h, x in _listed(form)))
+        return F.array(*(F.struct(F.lit(t // 2 + 1).alias("page"), F.lit(t).alias("table_id"), F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(h).cast("boolean").alias("header"), F.expr(x).cast("string").alias("text")) for t, r, c, h, x in _listed(form)))
 
     form = F.col("load_id") % 4
     stops = F.when(form == 0, cells(STOP_TABLES[0])).when(form == 1, cells(STOP_TABLES[1])).when(form == 2, cells(STOP_TABLES[2])).otherwise(cells(STOP_TABLES[3]))
-    return rows.select("load_id", F.lit(1).alias("page"), F.explode(F.concat(stops, cells(OTHER_TABLES))).alias("c")).select("load_id", "page", "c.*")
+    return rows.select("load_id", F.explode(F.concat(stops, cells(OTHER_TABLES))).alias("c")).select("load_id", "c.*")
 
 
 def table_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ QUERIES = {f.__name__: f for f in (table_semantics, table_stops)}
 
 
 def _cells_sql(form: list) -> str:
-    return "unnest([" + ", ".join(f"{{'table_id': {t}, 'row': {r}, 'col': {c}, 'header': CAST({'NULL' if h is None else str(h).upper()} AS BOOLEAN), 'text': CAST({x} AS VARCHAR)}}" for t, r, c, h, x in _listed(form)) + "], recursive := true)"
+    return "unnest([" + ", ".join(f"{{'page': {t // 2 + 1}, 'table_id': {t}, 'row': {r}, 'col': {c}, 'header': CAST({'NULL' if h is None else str(h).upper()} AS BOOLEAN), 'text': CAST({x} AS VARCHAR)}}" for t, r, c, h, x in _listed(form)) + "], recursive := true)"
 
 
 def _quoted(pattern: str) -> str:
@@ -59,7 +59,7 @@ def _quoted(pattern: str) -> str:
 
 
 CELLS_SQL = f"WITH {LOADS_SQL}, given AS (" + " UNION ALL ".join([f"SELECT load_id, {_cells_sql(form)} FROM loads WHERE load_id % 4 = {i}" for i, form in enumerate(STOP_TABLES)] + [f"SELECT load_id, {_cells_sql(OTHER_TABLES)} FROM loads"]) + """), cells AS (
-  SELECT load_id, 1 AS page, table_id, "row", "col", "header", trim(coalesce("text", '')) AS "text" FROM given)"""
+  SELECT load_id, page, table_id, "row", "col", "header", trim(coalesce("text", '')) AS "text" FROM given)"""
 _LOW = r"trim(regexp_replace(replace(lower({0}), '_', ' '), '\s+', ' ', 'g'))"
 
 
