@@ -7,6 +7,8 @@ table meet in one partition once; what follows (rows, tables) keeps that partiti
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +60,16 @@ def any_term(terms: list[str]) -> str:
     return "|".join(map(re.escape, terms))
 
 
+def holds_any(text: Column, terms: list[str]) -> Column:
+    """Whether any term stands in the text; a term that holds another one adds nothing and isn't looked for."""
+    return reduce(or_, (text.contains(t) for t in terms if not any(other in t for other in terms if other != t)))
+
+
+def has_pattern(text: Column, pattern: str, needs: str) -> Column:
+    """Whether the pattern is found; it can't be without one of the characters `needs`, which is the cheaper test."""
+    return text.rlike(f"[{needs}]") & text.rlike(pattern)
+
+
 def any_signal(patterns: list[str]) -> str:
     return "(?i)" + "|".join(patterns)
 
@@ -69,8 +81,8 @@ def plain_text(text: Column) -> Column:
 
 def cell_role(text: Column) -> Column:
     """What a cell is about: the first role with a term in it, else the first pattern that its value has, else unknown."""
-    terms = lambda low: [F.when(low.rlike(any_term(words)), name) for name, words in ROLE_TERMS.items()]
-    values = [F.when(F.coalesce(text, F.lit("")).rlike(p), name) for name, p in VALUE_PATTERNS]
+    terms = lambda low: [F.when(holds_any(low, words), name) for name, words in ROLE_TERMS.items()]
+    values = [F.when(has_pattern(F.coalesce(text, F.lit("")), p, r"\d,"), name) for name, p in VALUE_PATTERNS]
     return bind(plain_text(text), lambda low: F.coalesce(*terms(low), *values, F.lit("unknown")))
 
 
@@ -101,7 +113,7 @@ def table_semantics(cells: DataFrame, id_col: str) -> DataFrame:
     rows, keys = _rows(cells, id_col)
     roles = F.filter(F.transform("cells", lambda c: bind(cell_role(c["text"]), lambda role: F.struct(c["col"].alias("col"), role.alias("role"), header_label(role, c["text"]).alias("label")))), lambda h: h["role"] != "unknown")
     rows = rows.select(*keys, "row", F.element_at("cells", -1)["col"].alias("last_col"), F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("row_text"), roles.alias("headers"))
-    holds = bind(plain_text(F.col("row_text")), lambda low: F.struct(*(low.rlike(any_term(ROLE_TERMS[role])).alias(kind) for kind, role in (("stop", "stop_role"), ("load", "load_identity"), ("rate", "rate")))))
+    holds = bind(plain_text(F.col("row_text")), lambda low: F.struct(*(holds_any(low, ROLE_TERMS[role]).alias(kind) for kind, role in (("stop", "stop_role"), ("load", "load_identity"), ("rate", "rate")))))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("row"))
     rows = rows.select("*", F.size("headers").alias("n_roles"), holds.alias("holds"), cell_role(F.col("row_text")).alias("row_role"), place.alias("place"))
     order = F.when((F.col("place") <= HEADER_ROWS) & (F.col("n_roles") > 0), F.struct("n_roles", -F.col("place")))
@@ -120,7 +132,7 @@ def table_semantics(cells: DataFrame, id_col: str) -> DataFrame:
 
 def column_kind(header: Column) -> Column:
     """The kind of a stop table's column by its header; null where no term is in it."""
-    return bind(F.lower(header), lambda low: F.coalesce(*(F.when(low.rlike(any_term(terms)), kind) for kind, terms in COLUMN_TERMS)))
+    return bind(F.lower(header), lambda low: F.coalesce(*(F.when(holds_any(low, terms), kind) for kind, terms in COLUMN_TERMS)))
 
 
 def table_stops(cells: DataFrame, id_col: str) -> DataFrame:
@@ -134,18 +146,18 @@ def table_stops(cells: DataFrame, id_col: str) -> DataFrame:
     """
     rows, keys = _rows(cells, id_col)
     table = Window.partitionBy(*keys)
-    signals = lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), c["text"].rlike(any_signal(DATE_SIGNALS)).alias("date"), c["text"].rlike(any_signal(TIME_SIGNALS)).alias("time"))
+    signals = lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), has_pattern(c["text"], any_signal(DATE_SIGNALS), r"\d<").alias("date"), has_pattern(c["text"], any_signal(TIME_SIGNALS), r"\d<fF").alias("time"))
     rows = rows.select(*keys, "row", F.transform("cells", signals).alias("cells"), "header", F.max("header").over(table).alias("marked"))
     rows = rows.withColumn("header", F.when(F.col("marked"), F.coalesce("header", F.lit(False))).otherwise(F.col("row") == 0))
-    kinds = F.filter(F.transform("cells", lambda c: F.struct(c["col"].alias("key"), column_kind(c["text"]).alias("value"))), lambda k: k["value"].isNotNull())
-    head = F.min(F.when(F.col("header"), F.struct("row", kinds.alias("kinds")))).over(table)
+    kinds = F.when(F.col("header"), F.filter(F.transform("cells", lambda c: F.struct(c["col"].alias("key"), column_kind(c["text"]).alias("value"))), lambda k: k["value"].isNotNull()))
+    head = F.min_by(kinds, F.when(F.col("header"), F.col("row"))).over(table)
     signal = F.max(~F.col("header") & F.exists("cells", lambda c: c["date"] | c["time"])).over(table)
-    rows = rows.select(*keys, "row", "cells", "header", head["kinds"].alias("kinds"), signal.alias("signal")).where(~F.col("header"))
+    rows = rows.select(*keys, "row", "cells", "header", head.alias("kinds"), signal.alias("signal")).where(~F.col("header"))
     fields = F.array_intersect(F.array(*map(F.lit, STOP_FIELDS)), F.transform("kinds", lambda k: k["value"]))
     rows = rows.where((F.size(fields) >= 2) | (F.array_contains(fields, "location") & F.col("signal")))
 
-    kind_of = F.map_from_entries("kinds")
-    told = F.transform("cells", lambda c: F.struct(F.isnull(kind_of[c["col"]]).alias("bare"), c["col"].alias("col"), c["text"].alias("text"), kind_of[c["col"]].alias("kind"), c["date"].alias("date"), c["time"].alias("time")))
+    cell = lambda c, kind: F.struct(kind.isNull().alias("bare"), c["col"].alias("col"), c["text"].alias("text"), kind.alias("kind"), c["date"].alias("date"), c["time"].alias("time"))
+    told = bind(F.map_from_entries("kinds"), lambda kind_of: F.transform("cells", lambda c: cell(c, kind_of[c["col"]])))
     used = F.array_sort(F.filter("told", lambda c: (c["text"] != "") & (c["bare"] | c["kind"].isin(STOP_FIELDS))))
     first = lambda field: F.array_position(F.transform("used", lambda c: c[field] | (F.coalesce(c["kind"], F.lit("")) == field)), True)
     rows = rows.withColumn("told", told).withColumn("used", used).withColumns({"first_date": first("date"), "first_time": first("time")})
@@ -155,7 +167,7 @@ def table_stops(cells: DataFrame, id_col: str) -> DataFrame:
         within = lambda field: F.when((F.col(f"first_{field}") == i + 1) & c[field] & (F.coalesce(c["kind"], F.lit("")) != field), named(F.lit(field), F.when(c["bare"], 72).otherwise(82)))
         return F.array_compact(F.array(F.when(~c["bare"], named(c["kind"], F.lit(90))), within("date"), within("time")))
 
-    holds = lambda terms: F.exists("cells", lambda c: F.lower(c["text"]).rlike(any_term(terms)))
+    holds = lambda terms: F.exists("cells", lambda c: bind(F.lower(c["text"]), lambda low: holds_any(low, terms)))
     numbered = F.get(F.filter("told", lambda c: c["kind"] == "sequence"), F.lit(0))["text"]
     stops = rows.select(*keys, "row", holds(PICKUP_TERMS).alias("picks"), holds(DELIVERY_TERMS).alias("drops"), F.regexp_replace(numbered, "[^0-9]", "").alias("digits"), F.array_sort(F.flatten(F.transform("used", candidates))).alias("fields"))
     number = F.nullif(F.nullif("digits", F.lit("")).try_cast("long"), F.lit(0))
