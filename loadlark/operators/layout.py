@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import geometry as G
+
 PAGE_LINES, LINE_STEP, LINE_HEIGHT, CHAR_WIDTH = 8, 14, 10, 6
 
 
@@ -23,18 +25,17 @@ def cells(rows: DataFrame, id_col: str) -> DataFrame:
 def label_values(rows: DataFrame, id_col: str) -> DataFrame:
     """The best value of each label: to its right in the same row (gap up to 240), else below it (gap up to 80, overlapping in x).
 
-    The join is on document and page; what is compared is one page's cells. Scores in percent: 92 beside, 84 below, less one for each 40 units of gap.
+    Cells meet by bands of their page. Scores in percent: 92 beside, 84 below, less one for each 40 units of gap.
     """
-    a, b = rows.where("kind = 'label'"), rows.where("kind = 'value'")
-    left = a.select(id_col, "page", F.col("line_no").alias("label_line"), F.col("text").alias("label"), *(F.col(c).alias("l" + c) for c in ("x0", "x1", "y0", "y1")))
-    right = b.select(id_col, "page", F.col("line_no").alias("value_line"), F.col("text").alias("value"), "x0", "x1", "y0", "y1")
-    overlap = F.least("y1", "ly1") - F.greatest("y0", "ly0")
-    beside = (overlap * 100 >= 35 * LINE_HEIGHT) & (F.col("x0") - F.col("lx1")).between(0, 240)
-    below = (F.col("y0") - F.col("ly1")).between(0, 80) & (F.least("x1", "lx1") > F.greatest("x0", "lx0"))
-    score = F.when(beside, 92 - F.floor((F.col("x0") - F.col("lx1")) / 40)).when(below, 84 - F.floor((F.col("y0") - F.col("ly1")) / 40)).cast("int")
-    pairs = left.join(right, [id_col, "page"]).where(beside | below).withColumn("score", score)
-    best = Window.partitionBy(id_col, "label_line").orderBy(F.desc("score"), "value_line")
-    return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select(id_col, "label", "value", "score")
+    items = rows.withColumn("item", F.col("line_no") * 2 + F.when(F.col("kind") == "value", 1).otherwise(0))
+    labels, values = items.where("kind = 'label'"), items.where("kind = 'value'")
+    values = values.select(id_col, "page", "item", *G.BOX)
+    beside = G.right_of(labels, values, id_col).withColumn("score", 92 - F.floor((F.col("x0") - F.col("ax1")) / 40))
+    under = G.below(labels, values, id_col).withColumn("score", 84 - F.floor((F.col("y0") - F.col("ay1")) / 40))
+    best = beside.unionByName(under).groupBy(id_col, "anchor").agg(F.max(F.struct("score", (-F.col("item")).alias("order"))).alias("b"))
+    best = best.select(id_col, F.col("anchor"), F.col("b.score").cast("int").alias("score"), (-F.col("b.order")).alias("item"))
+    named = best.join(labels.select(id_col, F.col("item").alias("anchor"), F.col("text").alias("label")), [id_col, "anchor"])
+    return named.join(items.where("kind = 'value'").select(id_col, "item", F.col("text").alias("value")), [id_col, "item"]).select(id_col, "label", "value", "score")
 
 
 def match_templates(docs: DataFrame, id_col: str, templates: dict[str, list[str]]) -> DataFrame:

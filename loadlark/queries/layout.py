@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
+from ..operators import geometry as G
 from ..operators import layout as Y
 from ..sources.views import table
 from .events import TEXT_SQL, documents_of_loads
@@ -18,12 +21,32 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.label_values(Y.cells(X.lines(documents_of_loads(spark, sf_dir), "load_id", F.col("text")), "load_id"), "load_id")
 
 
+def layout_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label of each document, how many cells are in its row, to its right, below, near in y and within the box around it."""
+    cells = Y.cells(X.lines(documents_of_loads(spark, sf_dir), "load_id", F.col("text")), "load_id")
+    items = cells.withColumn("item", F.col("line_no") * 2 + F.when(F.col("kind") == "value", 1).otherwise(0)).select("load_id", "page", "item", *G.BOX)
+    labels = items.where("item % 2 = 0")
+    around = labels.withColumns({"x0": F.col("x0") - 1, "y0": F.col("y0") - 15, "x1": F.col("x1") + 200, "y1": F.col("y1") + 15})
+    found = {"same_row": G.same_row(labels, items, "load_id"), "right": G.right_of(labels, items, "load_id"), "below": G.below(labels, items, "load_id"), "near": G.lines_near(labels, items, "load_id"), "within": G.words_in_boxes(around, items, "load_id")}
+    pairs = [pairs.select("load_id", F.col("anchor"), F.lit(name).alias("relation")) for name, pairs in found.items()]
+    rows = reduce(DataFrame.unionByName, pairs, labels.select("load_id", F.col("item").alias("anchor"), F.lit("").alias("relation")))
+    return rows.groupBy("load_id", F.floor(F.col("anchor") / 2).alias("line_no")).agg(*(F.count_if(F.col("relation") == name).alias(f"n_{name}") for name in found))
+
+
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.match_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", TEMPLATES)
 
 
-QUERIES = {"label_values": label_values, "template_match": template_match}
+QUERIES = {"label_values": label_values, "layout_neighbours": layout_neighbours, "template_match": template_match}
 ORACLES = {
+    "layout_neighbours": TEXT_SQL + """, parts AS (
+  SELECT load_id, line_no, line_no // 8 AS page, (line_no % 8) * 14 AS y0, 6 * length(split_part(line, ': ', 1)) AS w, 6 * length(substr(line, length(split_part(line, ': ', 1)) + 3)) AS v FROM lines WHERE contains(line, ': ')
+), cells AS (SELECT load_id, page, line_no, true AS label, 0 AS x0, w AS x1, y0, y0 + 10 AS y1 FROM parts UNION ALL SELECT load_id, page, line_no, false, w + 12, w + 12 + v, y0, y0 + 10 FROM parts
+), pairs AS (
+  SELECT a.load_id, a.line_no, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * 100 >= 350 AS beside, b.x0 - a.x1 AS gap, b.y0 - a.y1 BETWEEN 0 AND 80 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AS below, abs(a.y0 - b.y0) <= 30 AS near,
+         b.x0 >= a.x0 - 1 AND b.x1 <= a.x1 + 200 AND b.y0 >= a.y0 - 15 AND b.y1 <= a.y1 + 15 AS within
+  FROM cells a LEFT JOIN cells b ON a.load_id = b.load_id AND a.page = b.page AND (a.line_no <> b.line_no OR NOT b.label) WHERE a.label)
+SELECT load_id, line_no, count(*) FILTER (WHERE beside) AS n_same_row, count(*) FILTER (WHERE beside AND gap BETWEEN 0 AND 240) AS n_right, count(*) FILTER (WHERE below) AS n_below, count(*) FILTER (WHERE near) AS n_near, count(*) FILTER (WHERE within) AS n_within FROM pairs GROUP BY load_id, line_no""",
     "label_values": TEXT_SQL + """, parts AS (
   SELECT load_id, line_no, line_no // 8 AS page, (line_no % 8) * 14 AS y0, split_part(line, ': ', 1) AS label, substr(line, length(split_part(line, ': ', 1)) + 3) AS value FROM lines WHERE contains(line, ': ')
 ), pairs AS (
