@@ -48,3 +48,13 @@ def test_unsent_goes_by_each_rows_own_keys(spark):
     sent = spark.createDataFrame([("a",), ("z",), ("a",), (None,)], "key string")
     assert sorted((r.load_id, r.key_a or "", r.key_b or "") for r in R.unsent(loads, sent, ["key_a", "key_b"]).collect()) == [(1, "b", "y"), (1, "b", "y"), (3, "c", ""), (4, "", "")]
     assert R.unsent(loads, sent.limit(0), ["key_a"]).count() == 6
+
+
+def test_only_the_best_first_loads_of_a_delivery_and_day_meet_reloads(spark, capsys):
+    cities = spark.createDataFrame([("X", "X", 0), ("X", "Y", 120), ("Y", "Y", 0), ("Y", "X", 95)], "delivery string, pickup string, miles long")
+    df = spark.createDataFrame(rows_of(2000), FIELDS)
+    whole = [r for r in M.reload_chains(df, "driver", cities, k=10_000).collect() if r.place <= 3]
+    few = M.reload_chains(df, "driver", cities, k=3)
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole))
+    few.explain("formatted")
+    assert "WindowGroupLimit" in capsys.readouterr().out.split("Generate")[0]
