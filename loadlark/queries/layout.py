@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +23,11 @@ def layout_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each label of each document, how many cells are in its row, to its right, below, near in y and within the box around it."""
     cells = Y.cells(X.lines(documents_of_loads(spark, sf_dir), "load_id", F.col("text")), "load_id")
     items = cells.withColumn("item", F.col("line_no") * 2 + F.when(F.col("kind") == "value", 1).otherwise(0)).select("load_id", "page", "item", *G.BOX)
-    labels = items.where("item % 2 = 0")
-    around = labels.withColumns({"x0": F.col("x0") - 1, "y0": F.col("y0") - 15, "x1": F.col("x1") + 200, "y1": F.col("y1") + 15})
-    found = {"same_row": G.same_row(labels, items, "load_id"), "right": G.right_of(labels, items, "load_id"), "below": G.below(labels, items, "load_id"), "near": G.lines_near(labels, items, "load_id"), "within": G.words_in_boxes(around, items, "load_id")}
-    pairs = [pairs.select("load_id", F.col("anchor"), F.lit(name).alias("relation")) for name, pairs in found.items()]
-    rows = reduce(DataFrame.unionByName, pairs, labels.select("load_id", F.col("item").alias("anchor"), F.lit("").alias("relation")))
-    return rows.groupBy("load_id", F.floor(F.col("anchor") / 2).alias("line_no")).agg(*(F.count_if(F.col("relation") == name).alias(f"n_{name}") for name in found))
+    found = {"same_row": G.is_beside, "right": G.is_right, "below": G.is_below, "near": G.is_near, "within": G.is_within}
+    pairs = G.met(items, "load_id", F.col("item") % 2 == 0, 25, 80)
+    count = lambda holds: F.size(F.filter("others", lambda b: holds(F.col("a"), b)))
+    counts = pairs.select("load_id", F.floor(F.col("a.item") / 2).alias("line_no"), *(count(holds).alias(f"n_{name}") for name, holds in found.items()))
+    return counts.groupBy("load_id", "line_no").agg(*(F.sum(f"n_{name}").alias(f"n_{name}") for name in found))
 
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,28 @@ def test_join_equals_all_pairs(name, spark, boxes):
     full = [b for b in boxes if b[3] is not None]
     assert got == sorted((a[0], a[1], a[2], b[2]) for a in full for b in full if a[:2] == b[:2] and a[2] != b[2] and RULES[name](a, b))
     assert getattr(G, name)(items.limit(0), items, "doc").count() == 0
+
+
+def test_items_met_in_bands_are_those_of_the_joins_and_shuffle_once(spark, capsys):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    boxes = [(d, 1, i, x, y, x + rng.randrange(60), y + rng.randrange(12)) for d in (1, 2) for i in range(60) for x, y in [(rng.randrange(400), rng.randrange(300))]]
+    items = spark.createDataFrame(boxes, "id long, page int, item long, x0 int, y0 int, x1 int, y1 int")
+    met = G.met(items, "id", F.col("item") % 2 == 0, 36, 86)
+    held = {"same_row": (G.same_row, G.is_beside), "right": (G.right_of, G.is_right), "below": (G.below, G.is_below), "near": (G.lines_near, G.is_near)}
+    for joined, holds in held.values():
+        got = met.select("id", F.col("a.item").alias("anchor"), F.explode(F.filter("others", lambda b: holds(F.col("a"), b))).alias("b")).select("id", "anchor", "b.item")
+        want = joined(items.where("item % 2 = 0"), items, "id").select("id", "anchor", "item")
+        assert want.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    met.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_documents_that_share_an_id_have_one_value_for_each_label(spark):
+    from loadlark.operators import extract as X
+    from loadlark.operators import layout as Y
+
+    docs = spark.createDataFrame([(1, "Rate: $5\nDate: x"), (1, "Rate: $5\nDate: x"), (2, "Rate: $7")], "id long, text string")
+    got = Y.label_values(Y.cells(X.lines(docs, "id", docs.text), "id"), "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "Date", "x", 92), (1, "Rate", "$5", 92), (2, "Rate", "$7", 92)]
