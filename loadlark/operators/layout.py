@@ -25,17 +25,16 @@ def cells(rows: DataFrame, id_col: str) -> DataFrame:
 def label_values(rows: DataFrame, id_col: str) -> DataFrame:
     """The best value of each label: to its right in the same row (gap up to 240), else below it (gap up to 80, overlapping in x).
 
-    Cells meet by bands of their page. Scores in percent: 92 beside, 84 below, less one for each 40 units of gap.
+    Cells meet by bands of their page, within their document's partition. Scores in percent: 92 beside, 84 below, less one for each
+    40 units of gap. Documents that share an id are one: a label's line has one value, of equal ones the larger text.
     """
     items = rows.withColumn("item", F.col("line_no") * 2 + F.when(F.col("kind") == "value", 1).otherwise(0))
-    labels, values = items.where("kind = 'label'"), items.where("kind = 'value'")
-    values = values.select(id_col, "page", "item", *G.BOX)
-    beside = G.right_of(labels, values, id_col).withColumn("score", 92 - F.floor((F.col("x0") - F.col("ax1")) / 40))
-    under = G.below(labels, values, id_col).withColumn("score", 84 - F.floor((F.col("y0") - F.col("ay1")) / 40))
-    best = beside.unionByName(under).groupBy(id_col, "anchor").agg(F.max(F.struct("score", (-F.col("item")).alias("order"))).alias("b"))
-    best = best.select(id_col, F.col("anchor"), F.col("b.score").cast("int").alias("score"), (-F.col("b.order")).alias("item"))
-    named = best.join(labels.select(id_col, F.col("item").alias("anchor"), F.col("text").alias("label")), [id_col, "anchor"])
-    return named.join(items.where("kind = 'value'").select(id_col, "item", F.col("text").alias("value")), [id_col, "item"]).select(id_col, "label", "value", "score")
+    pairs = G.met(items, id_col, F.col("kind") == "label", 0, 80, ("kind", "text"))
+    a = F.col("a")
+    score = lambda b: F.when(G.is_right(a, b), 92 - F.floor((b["x0"] - a["x1"]) / 40)).when(G.is_below(a, b), 84 - F.floor((b["y0"] - a["y1"]) / 40))
+    scored = F.transform(F.filter("others", lambda b: b["kind"] == "value"), lambda b: F.struct(score(b).cast("int").alias("score"), (-b["item"]).alias("order"), a["text"].alias("label"), b["text"].alias("value")))
+    best = pairs.select(id_col, F.col("a.item").alias("anchor"), F.array_max(F.filter(scored, lambda x: x["score"].isNotNull())).alias("b")).where("b IS NOT NULL")
+    return best.groupBy(id_col, "anchor").agg(F.max("b").alias("b")).select(id_col, "b.label", "b.value", "b.score")
 
 
 def match_templates(docs: DataFrame, id_col: str, templates: dict[str, list[str]]) -> DataFrame:
