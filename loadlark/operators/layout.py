@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as G
+from .geometry import keys
 
 PAGE_LINES, LINE_STEP, LINE_HEIGHT, CHAR_WIDTH = 8, 14, 10, 6
 
 
-def cells(rows: DataFrame, id_col: str) -> DataFrame:
+def cells(rows: DataFrame, id_col: str | list[str]) -> DataFrame:
     """Label and value cells of `label: value` lines with their boxes in whole units."""
     parts = rows.where(F.col("line").contains(": ")).withColumns({"label": F.substring_index("line", ": ", 1), "page": F.floor(F.col("line_no") / PAGE_LINES).cast("int"), "y0": (F.col("line_no") % PAGE_LINES) * LINE_STEP})
     label_end = F.length("label") * CHAR_WIDTH
     value = F.substring(F.col("line"), F.length("label") + 3, F.length("line"))
     box = lambda kind, text, x0: F.struct(F.lit(kind).alias("kind"), text.alias("text"), x0.cast("int").alias("x0"), (x0 + F.length(text) * CHAR_WIDTH).cast("int").alias("x1"))
-    return parts.select(id_col, "page", "line_no", "y0", (F.col("y0") + LINE_HEIGHT).alias("y1"), F.explode(F.array(box("label", F.col("label"), F.lit(0)), box("value", value, label_end + 12))).alias("c")).select(id_col, "page", "line_no", "y0", "y1", "c.*")
+    own = keys(id_col)
+    return parts.select(*own, "page", "line_no", "y0", (F.col("y0") + LINE_HEIGHT).alias("y1"), F.explode(F.array(box("label", F.col("label"), F.lit(0)), box("value", value, label_end + 12))).alias("c")).select(*own, "page", "line_no", "y0", "y1", "c.*")
 
 
-def label_values(rows: DataFrame, id_col: str) -> DataFrame:
+def label_values(rows: DataFrame, id_col: str | list[str]) -> DataFrame:
     """The best value of each label: to its right in the same row (gap up to 240), else below it (gap up to 80, overlapping in x).
 
     Cells meet by bands of their page, within their document's partition. Scores in percent: 92 beside, 84 below, less one for each
@@ -33,8 +35,8 @@ def label_values(rows: DataFrame, id_col: str) -> DataFrame:
     a = F.col("a")
     score = lambda b: F.when(G.is_right(a, b), 92 - F.floor((b["x0"] - a["x1"]) / 40)).when(G.is_below(a, b), 84 - F.floor((b["y0"] - a["y1"]) / 40))
     scored = F.transform(F.filter("others", lambda b: b["kind"] == "value"), lambda b: F.struct(score(b).cast("int").alias("score"), (-b["item"]).alias("order"), a["text"].alias("label"), b["text"].alias("value")))
-    best = pairs.select(id_col, F.col("a.item").alias("anchor"), F.array_max(F.filter(scored, lambda x: x["score"].isNotNull())).alias("b")).where("b IS NOT NULL")
-    return best.groupBy(id_col, "anchor").agg(F.max("b").alias("b")).select(id_col, "b.label", "b.value", "b.score")
+    best = pairs.select(*keys(id_col), F.col("a.item").alias("anchor"), F.array_max(F.filter(scored, lambda x: x["score"].isNotNull())).alias("b")).where("b IS NOT NULL")
+    return best.groupBy(*keys(id_col), "anchor").agg(F.max("b").alias("b")).select(*keys(id_col), "b.label", "b.value", "b.score")
 
 
 def match_templates(docs: DataFrame, id_col: str, templates: dict[str, list[str]]) -> DataFrame:
