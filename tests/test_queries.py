@@ -28,3 +28,13 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, sf_dir, capsys):
     plan = capsys.readouterr().out
     assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
     assert "ReadSchema" in plan and "l_tax" not in plan
+
+
+def test_states_of_zones_follow_from_counts(spark, capsys):
+    """A delivery's state is worked out for counted cities, never for each match."""
+    from loadlark.operators import market
+
+    rows = spark.createDataFrame([("a", "Gary, IN", "MATCH", True, 900, 3.0)], "driver string, delivery string, status string, qualified boolean, rate long, total_rpm double")
+    market.zones(rows, ["driver"]).explain()
+    plan = capsys.readouterr().out
+    assert "split(" in plan and plan.rindex("split(") < plan.rindex("HashAggregate")
