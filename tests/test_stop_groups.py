@@ -132,3 +132,36 @@ def test_stops_against_gold(spark):
     rows = spark.createDataFrame([(i, p, g) for i, (p, g, _) in enumerate(COMPARED)], f"i int, p array<{C.STOP}>, g array<{C.STOP}>")
     for r in rows.select("i", C.compare_stops(F.col("p"), F.col("g")).alias("c")).collect():
         assert (r.c.status, r.c.issues, r.c.n_exact, r.c.n_partial) == COMPARED[r.i][2], COMPARED[r.i]
+
+
+ODD = ["", "  ", "\t", " Gary, IN. ", "St.  Louis", "İstanbul", "1/2/24\n", "1/2/24\r\n", "1/2/024", "12-31-2024", "1/2/2024 x", "815 pm", "\t8:00\n am", "12:30 am", "24:10", "appt 0800 - 9:75", "Time FCFS", "FC FS\xa0x",
+       "é8:00", "8:00é", "é8:00", "–8:00", "\xbd8:00", "٣800", "\U000104008:00", "\U00010400́8:00", "_0800", "0800appt", "windoK 7:05", "8:00–17:00", None]
+
+
+def test_forms_of_single_texts_equal_columns(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string")
+    columns = {"city": C.normal_place, "date": C.normal_date, "time": C.normal_time}
+    for r in rows.select("t", *(normal(F.col("t")).alias(p) for p, normal in columns.items())).collect():
+        assert {p: C.FORMS[p]((r.t or "").strip(" ")) for p in columns} == {p: r[p] for p in columns}, repr(r.t)
+
+
+def test_each_distinct_text_of_a_batch_is_read_once():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([(p, pa.string()) for p in [*C.PARTS, "appointment_window"]]))
+    said = {"city": "Gary", "date": "2024-01-02"}
+    wanted = [{"city": c, "date": "1/2/2024", "appointment_window": w} for c, w in (("GARY.", None), ("Reno", "0800"))]
+    for form in C.FORMS.values():
+        form.cache_clear()
+    got = C._compare(pa.array([[said], [said], [], [None, said]] * 1000, kind), pa.array([wanted[:1], wanted, wanted, []] * 1000, kind)).to_pylist()
+    assert [tuple(r.values()) for r in got] == [("normalized_match", [], 1, 0), ("partial_match", ["missing_time", "wrong_city"], 1, 1), ("missing", ["missing_stop"], 0, 0), ("unlabeled", ["unlabeled"], 0, 0)] * 1000
+    read = {p: form.cache_info() for p, form in C.FORMS.items()}
+    assert {p: r.hits + r.misses for p, r in read.items() if r.misses} == {"city": 3, "date": 2, "time": 1}
+
+
+def test_comparison_runs_in_arrow_batches(spark, sf_dir, capsys):
+    from loadlark.queries.documents import stop_comparison
+
+    stop_comparison(spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
