@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from loadlark.queries import ORACLES, QUERIES
+from loadlark.sources.views import LOADS_SQL
 
 from .conftest import DATA, TABLES, same_rows
 
@@ -27,3 +28,13 @@ def test_loads_that_share_an_id_equal_sql(name, spark, twin_dir):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{twin_dir}/{t}.parquet'")
     same_rows(QUERIES[name](spark, twin_dir), con.sql(ORACLES[name]))
+
+
+def test_equal_amounts_are_counted_in_each_document(spark, twin_dir):
+    """Documents that share a load id have rows of their own, as many as their own amounts differ."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{twin_dir}/{t}.parquet'")
+    amounts = "list_filter([rate - empty_miles, empty_miles, rate, weight // 100], lambda x: x >= 0)"
+    wanted = con.execute(f"WITH {LOADS_SQL} SELECT sum(len(list_distinct({amounts}))), sum(len({amounts})) FROM loads").fetchone()
+    assert QUERIES["rate_equivalence"](spark, twin_dir).selectExpr("count(*)", "sum(n)").first() == wanted
