@@ -38,3 +38,9 @@ def test_equal_amounts_are_counted_in_each_document(spark, twin_dir):
     amounts = "list_filter([rate - empty_miles, empty_miles, rate, weight // 100], lambda x: x >= 0)"
     wanted = con.execute(f"WITH {LOADS_SQL} SELECT sum(len(list_distinct({amounts}))), sum(len({amounts})) FROM loads").fetchone()
     assert QUERIES["rate_equivalence"](spark, twin_dir).selectExpr("count(*)", "sum(n)").first() == wanted
+
+
+def test_each_document_has_its_own_stops(spark, twin_dir):
+    """A pickup and a delivery for each line item, also where documents share a load id."""
+    lines = spark.read.parquet(f"{twin_dir}/lineitem.parquet").count()
+    assert QUERIES["stop_spans"](spark, twin_dir).count() == 2 * lines
