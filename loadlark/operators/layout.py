@@ -5,7 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as G
@@ -39,6 +42,53 @@ def label_values(rows: DataFrame, id_col: str | list[str]) -> DataFrame:
     return best.groupBy(*keys(id_col), "anchor").agg(F.max("b").alias("b")).select(*keys(id_col), "b.label", "b.value", "b.score")
 
 
+def lines_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The lines of an Arrow batch of lists of texts: each text's row, and each line's text, number there and content."""
+    texts = pc.list_flatten(lists)
+    split = pc.split_pattern(texts.fill_null(""), "\n")
+    n = pc.list_value_length(split).to_numpy()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
+    return row, np.repeat(np.arange(len(texts)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), split.flatten()
+
+
+def _pairs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places that share their group; groups are consecutive."""
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(of)))
+    n, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+    a = np.repeat(np.arange(len(of)), n)
+    return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[a]
+
+
+def _values(lists: pa.Array, wanted: list[str]) -> pa.Array:
+    """document_values of one Arrow batch."""
+    row, text, number, lines = lines_of(lists)
+    at = np.flatnonzero(pc.match_substring(lines, ": ").to_numpy(zero_copy_only=False))
+    parts = dict(zip(("label", "value"), pc.extract_regex(lines.take(pa.array(at)), "(?s)^(?P<label>.*?): (?P<value>.*)$").flatten(), strict=True))
+    width = {c: pc.utf8_length(p).to_numpy() * CHAR_WIDTH for c, p in parts.items()}
+    text, number = text[at], number[at]
+    y0, x0 = number % PAGE_LINES * LINE_STEP, width["label"] + 12
+    a, b = _pairs(text * (number.max(initial=0) // PAGE_LINES + 1) + number // PAGE_LINES)
+    asked = pc.is_in(parts["label"], pa.array(wanted)).to_numpy(zero_copy_only=False)[a]
+    a, b = a[asked], b[asked]
+
+    overlap, gap, under = np.minimum(y0[a], y0[b]) + LINE_HEIGHT - np.maximum(y0[a], y0[b]), x0[b] - width["label"][a], y0[b] - y0[a] - LINE_HEIGHT
+    right = (overlap > 0) & (overlap * 100 >= LINE_HEIGHT * 35) & (gap >= 0) & (gap <= 240)
+    below = (under >= 0) & (under <= 80) & (np.minimum(x0[b] + width["value"][b], width["label"][a]) > np.maximum(x0[b], 0))
+    score = np.where(right, 92 - gap // 40, np.where(below, 84 - under // 40, -1))
+    a, b, score = a[score >= 0], b[score >= 0], score[score >= 0]
+    order = np.lexsort([number[b], -score, a])
+    order = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
+    a, b, score = a[order], b[order], score[order]
+    found = pa.StructArray.from_arrays([parts["label"].take(pa.array(a)), parts["value"].take(pa.array(b)), pa.array(score, pa.int32())], ["label", "value", "score"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[text[a]], minlength=len(lists)))), pa.int32()), found)
+
+
+def document_values(texts: Column, wanted: list[str]) -> Column:
+    """label_values of some labels in each of a row's texts, as an array of label, value and score; pages of an Arrow batch are read at once."""
+    return F.arrow_udf(lambda lists: _values(lists, wanted), "array<struct<label:string,value:string,score:int>>")(texts)
+
+
 def match_templates(docs: DataFrame, id_col: str, templates: dict[str, list[str]]) -> DataFrame:
     """The template with the largest share of its terms in a document's text, then most terms, then the larger name.
 

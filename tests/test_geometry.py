@@ -61,3 +61,26 @@ def test_documents_that_share_an_id_have_one_value_for_each_label(spark):
     docs = spark.createDataFrame([(1, "Rate: $5\nDate: x"), (1, "Rate: $5\nDate: x"), (2, "Rate: $7")], "id long, text string")
     got = Y.label_values(Y.cells(X.lines(docs, "id", docs.text), "id"), "id")
     assert sorted(map(tuple, got.collect())) == [(1, "Date", "x", 92), (1, "Rate", "$5", 92), (2, "Rate", "$7", 92)]
+
+
+def test_batches_of_texts_read_like_lines(spark):
+    """document_values and document_amounts against the operators on lines, on texts of odd lines."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loadlark.operators import extract as X
+    from loadlark.operators import layout as Y
+
+    r = random.Random(5)
+    parts = ["a: b", ": x", "Total: $1,200.50 and $3.25", "RATE", "TERMS of: $9.00", "", "fee: $40.00: late", "a: ", "no label", "PICKUP: here", "Line haul: $7.10", "Fuel: $-3.00", "ключ: $5.00", "a: " + "w" * 50]
+    texts = [(i, "\n".join(r.choice(parts) for _ in range(r.randrange(30)))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    lines = X.lines(docs, "id", F.col("text"))
+    wanted = ["a", "Total", "fee", "", "ключ"]
+    ours = docs.select("id", F.explode(Y.document_values(F.array("text"), wanted)).alias("v")).select("id", "v.*")
+    theirs = Y.label_values(Y.cells(lines, "id"), "id").where(F.col("label").isin(wanted)).select("id", "label", "value", "score")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+    ours = docs.select("id", F.explode(X.document_amounts(F.array("text"))).alias("v")).select("id", "v.*")
+    theirs = X.abstain(X.money_candidates(X.carry_section(lines, "id")), "id").select("id", "kind", "amount", "capped")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
