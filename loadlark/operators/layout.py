@@ -51,36 +51,85 @@ def lines_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
     return row, np.repeat(np.arange(len(texts)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), split.flatten()
 
 
-def _pairs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places that share their group; groups are consecutive."""
+def _pairs(of: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of an asked place and a place of its group; groups are consecutive."""
     starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
     sizes = np.diff(np.append(starts, len(of)))
-    n, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-    a = np.repeat(np.arange(len(of)), n)
-    return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + first[a]
+    n, first, at = np.repeat(sizes, sizes)[asked], np.repeat(starts, sizes)[asked], np.flatnonzero(asked)
+    a = np.repeat(at, n)
+    return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _parts(lines: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Which lines are `label: value`, and those lines' labels, values and their widths."""
+    at = np.flatnonzero(pc.match_substring(lines, ": ").to_numpy(zero_copy_only=False))
+    label, value = pc.extract_regex(lines.take(pa.array(at)), "(?s)^(?P<label>.*?): (?P<value>.*)$").flatten()
+    return at, label, value, *(pc.utf8_length(p).to_numpy() * CHAR_WIDTH for p in (label, value))
+
+
+def _neighbours(lists: pa.Array) -> pa.Array:
+    """document_neighbours of one Arrow batch. Cells of equal boxes are one, which counts as often as it is there."""
+    row, text, number, lines = lines_of(lists)
+    at, _, _, w, v = _parts(lines)
+    double = lambda x: np.repeat(x, 2)
+    of, line, is_label = double(row[text[at]]), double(number[at]), np.arange(2 * len(at)) % 2 == 0
+    x0 = np.where(is_label, 0, double(w) + 12)
+    x1, times = np.where(is_label, double(w), x0 + double(v)), np.ones(len(of), int)
+    if len(row) and (row[1:] == row[:-1]).any():
+        order = np.lexsort([x1, x0, ~is_label, line, of])
+        own = [k[order] for k in (of, line, is_label, x0, x1)]
+        first = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in own])))[: len(order)]
+        times = np.diff(np.append(first, len(order)))
+        of, line, is_label, x0, x1 = (k[first] for k in own)
+    a, b = _pairs(of * (line.max(initial=0) // PAGE_LINES + 1) + line // PAGE_LINES, is_label)
+    other = (line[a] != line[b]) | ~is_label[b]
+    a, b = a[other], b[other]
+
+    up = (line[b] - line[a]) * LINE_STEP
+    beside = LINE_HEIGHT - np.abs(up)
+    beside = (beside > 0) & (beside * 100 >= LINE_HEIGHT * 35)
+    gap, under = x0[b] - x1[a], up - LINE_HEIGHT
+    holds = {
+        "same_row": beside, "right": beside & (gap >= 0) & (gap <= 240), "below": (under >= 0) & (under <= 80) & (np.minimum(x1[a], x1[b]) > np.maximum(x0[a], x0[b])), "near": np.abs(up) <= 30,
+        "within": (x0[b] >= x0[a] - 1) & (x1[b] <= x1[a] + 200) & (up >= -15) & (up <= 15),
+    }
+    labels = np.flatnonzero(is_label)
+    fresh = np.append(True, (of[labels][1:] != of[labels][:-1]) | (line[labels][1:] != line[labels][:-1]))[: len(labels)]
+    group, weight = np.zeros(len(of), int), times[a] * times[b]
+    group[labels] = np.cumsum(fresh) - 1
+    firsts = labels[fresh]
+    counts = [pa.array(np.bincount(group[a][h], weights=weight[h], minlength=len(firsts)).astype(np.int64)) for h in holds.values()]
+    found = pa.StructArray.from_arrays([pa.array(line[firsts], pa.int64()), *counts], ["line_no", *(f"n_{k}" for k in holds)])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of[firsts], minlength=len(lists)))), pa.int32()), found)
+
+
+def document_neighbours(texts: Column) -> Column:
+    """For each line with a label, how many cells of a row's texts are in the label's row, to its right, below, near in y and within the box around it.
+
+    Cells are those of `cells`, and the relations those of geometry (is_beside, is_right, is_below, is_near, is_within); pages of an Arrow
+    batch are read at once. Texts of one row stand on the same pages, and their counts are added up by line.
+    """
+    return F.arrow_udf(_neighbours, "array<struct<line_no:bigint,n_same_row:bigint,n_right:bigint,n_below:bigint,n_near:bigint,n_within:bigint>>")(texts)
 
 
 def _values(lists: pa.Array, wanted: list[str]) -> pa.Array:
     """document_values of one Arrow batch."""
     row, text, number, lines = lines_of(lists)
-    at = np.flatnonzero(pc.match_substring(lines, ": ").to_numpy(zero_copy_only=False))
-    parts = dict(zip(("label", "value"), pc.extract_regex(lines.take(pa.array(at)), "(?s)^(?P<label>.*?): (?P<value>.*)$").flatten(), strict=True))
-    width = {c: pc.utf8_length(p).to_numpy() * CHAR_WIDTH for c, p in parts.items()}
+    at, labels, values, w, v = _parts(lines)
     text, number = text[at], number[at]
-    y0, x0 = number % PAGE_LINES * LINE_STEP, width["label"] + 12
-    a, b = _pairs(text * (number.max(initial=0) // PAGE_LINES + 1) + number // PAGE_LINES)
-    asked = pc.is_in(parts["label"], pa.array(wanted)).to_numpy(zero_copy_only=False)[a]
-    a, b = a[asked], b[asked]
+    y0, x0 = number % PAGE_LINES * LINE_STEP, w + 12
+    asked = pc.is_in(labels, pa.array(wanted)).to_numpy(zero_copy_only=False)
+    a, b = _pairs(text * (number.max(initial=0) // PAGE_LINES + 1) + number // PAGE_LINES, asked)
 
-    overlap, gap, under = np.minimum(y0[a], y0[b]) + LINE_HEIGHT - np.maximum(y0[a], y0[b]), x0[b] - width["label"][a], y0[b] - y0[a] - LINE_HEIGHT
+    overlap, gap, under = np.minimum(y0[a], y0[b]) + LINE_HEIGHT - np.maximum(y0[a], y0[b]), x0[b] - w[a], y0[b] - y0[a] - LINE_HEIGHT
     right = (overlap > 0) & (overlap * 100 >= LINE_HEIGHT * 35) & (gap >= 0) & (gap <= 240)
-    below = (under >= 0) & (under <= 80) & (np.minimum(x0[b] + width["value"][b], width["label"][a]) > np.maximum(x0[b], 0))
+    below = (under >= 0) & (under <= 80) & (np.minimum(x0[b] + v[b], w[a]) > np.maximum(x0[b], 0))
     score = np.where(right, 92 - gap // 40, np.where(below, 84 - under // 40, -1))
     a, b, score = a[score >= 0], b[score >= 0], score[score >= 0]
     order = np.lexsort([number[b], -score, a])
     order = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
     a, b, score = a[order], b[order], score[order]
-    found = pa.StructArray.from_arrays([parts["label"].take(pa.array(a)), parts["value"].take(pa.array(b)), pa.array(score, pa.int32())], ["label", "value", "score"])
+    found = pa.StructArray.from_arrays([labels.take(pa.array(a)), values.take(pa.array(b)), pa.array(score, pa.int32())], ["label", "value", "score"])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[text[a]], minlength=len(lists)))), pa.int32()), found)
 
 

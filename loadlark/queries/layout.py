@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
-from ..operators import geometry as G
 from ..operators import layout as Y
 from ..sources.views import table
-from .events import TEXT_SQL, documents_of_loads
+from .events import TEXT_SQL, documents_by_id, documents_of_loads
 
 # Terms of the templates.
 TEMPLATES = {"menu": ["|", " | the"], "shout": ["!!", "the!!"], "symbols": ["%%%", "$$$", "***"], "prose": ["the ", ". ", "and "]}
@@ -21,13 +20,7 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each label of each document, how many cells are in its row, to its right, below, near in y and within the box around it."""
-    cells = Y.cells(X.lines(documents_of_loads(spark, sf_dir), "load_id", F.col("text")), "load_id")
-    items = cells.withColumn("item", F.col("line_no") * 2 + F.when(F.col("kind") == "value", 1).otherwise(0)).select("load_id", "page", "item", *G.BOX)
-    found = {"same_row": G.is_beside, "right": G.is_right, "below": G.is_below, "near": G.is_near, "within": G.is_within}
-    pairs = G.met(items, "load_id", F.col("item") % 2 == 0, 25, 80)
-    count = lambda holds: F.size(F.filter("others", lambda b: holds(F.col("a"), b)))
-    counts = pairs.select("load_id", F.floor(F.col("a.item") / 2).alias("line_no"), *(count(holds).alias(f"n_{name}") for name, holds in found.items()))
-    return counts.groupBy("load_id", "line_no").agg(*(F.sum(f"n_{name}").alias(f"n_{name}") for name in found))
+    return documents_by_id(spark, sf_dir).select("load_id", F.explode(Y.document_neighbours(F.col("texts"))).alias("n")).select("load_id", "n.*")
 
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
