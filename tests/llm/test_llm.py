@@ -384,3 +384,12 @@ def test_quality_learns_nothing_from_held_out_labels(spark, larger):
     assert a.prior == b.prior and np.array_equal(a.weights, b.weights)
     scores = [{(r.doc_id, r.text): r.score for r in score_quality(docs.limit(200), m).collect()} for m in (a, b)]
     assert scores[0] == scores[1]
+
+
+def test_index_entries_name_their_sets_by_number():
+    import pyarrow as pa
+
+    from loadlark.llm import jaccard
+
+    entries = pa.RecordBatch.from_pydict({"shingle": [1, 1, 2], "no": [5, 3, 7], "n": pa.array([4, 4, 4], pa.int32()), "place": pa.array([0, 0, 0], pa.int32())})
+    assert [b.to_pylist() for b in jaccard._lists(50)(iter([entries]))] == [[{"leader_no": 3, "leader_n": 4, "no": 5, "n": 4}]]
